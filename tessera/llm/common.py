@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,3 +107,74 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = materialise(small)
+
+
+def map_runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str, rows: int = 100_000) -> DataFrame:
+    """Apply ``fn`` to buffers of whole runs, the rows of equal ``keys``.
+
+    Rows are dealt and sorted by ``keys``; a buffer holds ``rows`` rows or one run
+    at least, so the caller bounds the run.  ``fn`` gets the buffer and the start
+    of each run in it, and returns a batch of ``schema`` or None.
+    """
+    width = len(keys)
+
+    def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def starts(table: pa.Table) -> np.ndarray:
+            new = np.zeros(table.num_rows, bool)
+            new[:1] = True
+            for k in range(width):
+                column = table.column(k).to_numpy()
+                new[1:] |= column[1:] != column[:-1]
+            return np.flatnonzero(new)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= rows:
+                table = pa.Table.from_batches(held).combine_chunks()
+                begun = starts(table)
+                # the last run may go on in the next batch
+                if begun[-1] and (out := fn(table.slice(0, begun[-1]), begun[:-1])) is not None:
+                    yield out
+                held = table.slice(begun[-1]).to_batches()
+                size = table.num_rows - begun[-1]
+        if size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            if (out := fn(table, starts(table))) is not None:
+                yield out
+
+    rest = [c for c in df.columns if c not in keys]
+    dealt = df.select(*keys, *rest).repartition(partitions(df.sparkSession), *keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(buffers, schema)
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every k the pairs (k, j) with lo[k] <= j < hi[k], as two flat arrays."""
+    n = np.maximum(hi - lo, 0)
+    k = np.repeat(np.arange(len(lo)), n)
+    return k, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def slabs(costs: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive slices whose costs sum to ``most`` at most, one item at least."""
+    total, at = np.cumsum(costs), 0
+    while at < len(costs):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + most, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merge the classes of ``a[i]`` and ``b[i]``; a label is the least member known."""
+    while True:
+        la, lb = labels[a], labels[b]
+        differ = la != lb
+        if not differ.any():
+            return labels
+        la, lb = la[differ], lb[differ]
+        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
+        while (up := labels[labels]).tobytes() != labels.tobytes():
+            labels = up
+        a, b = a[differ], b[differ]
