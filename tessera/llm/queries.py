@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_store, vector_dedup
+from . import line_dedup, packing, simhash, token_store, vector_dedup
 from .common import new_path
 
 
@@ -23,6 +23,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(spark, path)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without later copies of repeated line runs."""
+    found = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "text", "n_lines", "n_deleted")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir), radius=4, shingle=4)
@@ -40,6 +46,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op4_line_dedup": op4_line_dedup,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op10_vector_dedup": op10_vector_dedup,
