@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the word separators of every word-based operator.
 SPACE = " \t\n\x0b\x0c\r"
-SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +47,8 @@ def partitions(spark: SparkSession) -> int:
 
 def words(text: Column) -> Column:
     """Array of the runs of characters other than ASCII white space (null: none)."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
+    spaced = F.translate(F.coalesce(text, F.lit("")), SPACE[1:], " " * len(SPACE[1:]))
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
 def in_blocks(df: DataFrame, bucket: str, row_id: str, block: int) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, simhash, token_store, vector_dedup
+from . import line_dedup, packing, quality_rules, simhash, token_store, vector_dedup
 from .common import new_path
 
 
@@ -34,6 +34,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), radius=4, shingle=4)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    judged = quality_rules.judge(documents(spark, sf_dir))
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select(*names)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 4096 tokens."""
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op4_line_dedup": op4_line_dedup,
     "op6_simhash": op6_simhash,
+    "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op10_vector_dedup": op10_vector_dedup,
 }
