@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality_rules, simhash, token_store, vector_dedup
+from . import langid, line_dedup, packing, quality_rules, simhash, token_store, vector_dedup
 from .common import new_path
 
 
@@ -46,6 +46,27 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+def vocabulary() -> list[str]:
+    """Pieces of the public 32k vocabulary."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return [model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+
+
+def remainder(by: int) -> Column:
+    """crc32 of the id as text, modulo ``by``: the folds of held-out rows."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of them."""
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(remainder(4) != 2), vocabulary())
+    named = langid.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and verdict of every embedding."""
     return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
@@ -57,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
+    "op9_langid": op9_langid,
     "op10_vector_dedup": op10_vector_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
