@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, packing, quality_rules, simhash, token_store, vector_dedup
+from . import langid, line_dedup, packing, quality_knn, quality_rules, simhash, token_store, vector_dedup
 from .common import new_path
 
 
@@ -16,6 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def remainder(by: int) -> Column:
+    """crc32 of the id as text, modulo ``by``: the folds of held-out rows."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written and read back."""
     path = new_path(spark, "tokens")
@@ -23,6 +28,16 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(spark, path)
 
 
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels of four fifths of the ids."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality_knn.fit(docs, labels.where(remainder(5) != 0))
+    scored = quality_knn.score(docs, model)
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without later copies of repeated line runs."""
     found = line_dedup.dedup_lines(documents(spark, sf_dir))
@@ -54,11 +69,6 @@ def vocabulary() -> list[str]:
     return [model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
-def remainder(by: int) -> Column:
-    """crc32 of the id as text, modulo ``by``: the folds of held-out rows."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
-
-
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from three quarters of them."""
     docs = documents(spark, sf_dir)
@@ -74,6 +84,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_quality_knn": op2_quality_knn,
     "op4_line_dedup": op4_line_dedup,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
