@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, packing, quality_knn, quality_rules, simhash, token_store, vector_dedup
-from .common import new_path
+from . import langid, licenses, line_dedup, mixing, packing, quality_knn, quality_rules, simhash, token_store, vector_dedup
+from .common import materialise, new_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +38,25 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, sampling probability and draw of every document."""
+    rows = mixing.annotate(documents(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "n_tokens")
+    rows = materialise(rows)
+    drawn = mixing.sample(rows, mixing.calibrate(rows))
+    return drawn.withColumn("probability", F.round("probability", 6))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without later copies of repeated line runs."""
     found = line_dedup.dedup_lines(documents(spark, sf_dir))
     return found.select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that every document's text names, if any."""
+    return licenses.scan(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir), radius=4, shingle=4)
@@ -85,7 +98,9 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_quality_knn": op2_quality_knn,
+    "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
