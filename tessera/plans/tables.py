@@ -83,4 +83,4 @@ TEAM_MATCHES = (
 
 
 def seconds(c: str) -> Column:
-    return F.unix_micros(F.col(c)) / 1_000_000.0
+    return F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000.0
