@@ -99,7 +99,7 @@ def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataF
     """``n``, ``r``, its t statistic and Fisher interval; missing below three pairs."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     out = rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), correlation(F.col(a), F.col(b)).alias("_r"))
-    r = F.when(F.col("n") >= 3, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_r"))))
+    r = F.when((F.col("n") >= 3) & F.col("_r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_r"))))
     out = out.withColumn("r", r).drop("_r")
     t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / F.when(F.abs("r") < 1, 1 - F.col("r") * F.col("r"))))
     z, half = F.when(F.abs("r") < 1, F.atanh(F.col("r"))), F.when(F.col("n") > 3, 1.959963984540054 / F.sqrt(F.col("n") - 3.0))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions import missing as M
 from tessera.operators import frames, windows
 from tessera.plans.tables import PANEL, panel, query, r, table
 
-BY = Window.partitionBy("entity").orderBy("period")
+def by() -> WindowSpec:
+    """A supplier's months in order."""
+    return Window.partitionBy("entity").orderBy("period")
+
+
 WINDOW = "WINDOW w AS (PARTITION BY entity ORDER BY period)"
 
 FLAGSHIP = f"""WITH {PANEL}, derived AS (SELECT entity, period, revenue, qty,
@@ -23,7 +27,7 @@ SELECT entity, period, revenue, round(form, 6) AS form, round(trend, 6) AS trend
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suppliers' best three-month form while revenue rises."""
     rows = panel(spark, sf_dir).withColumns(
-        {"form": windows.rolling(F.col("revenue"), BY, 3, "mean"), "trend": M.divide(F.col("revenue"), F.lag("revenue").over(BY))}
+        {"form": windows.rolling(F.col("revenue"), by(), 3, "mean"), "trend": M.divide(F.col("revenue"), F.lag("revenue").over(by()))}
     )
     rising = M.both(M.truth(F.col("form") > 0), M.truth(F.col("trend") > 1))
     rows = rows.where((F.col("qty") >= 10) & M.holds(rising))
@@ -86,10 +90,10 @@ def series_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c")
     x = panel(spark, sf_dir).select("entity", "period", F.when(F.col("n") % 5 != 0, F.col("revenue")).alias("c"))
     return x.select(
-        "entity", "period", F.lag(c).over(BY).alias("lag1"), F.lead(c, 2).over(BY).alias("lead2"), r(windows.difference(c, BY), 6).alias("diff"),
-        *(r(windows.rolling(c, BY, 3, how), 6).alias(f"{how}3") for how in ("mean", "sum", "max")), r(windows.rolling(c, BY, 3, "mean", 2), 6).alias("mean3_two"),
-        r(windows.rolling(c, BY, 3, "sd", 2), 3).alias("sd3"), r(windows.running_total(c, BY), 6).alias("total"), r(windows.drawdown(c, BY), 6).alias("down"),
-        r(windows.forward_strict(c, BY, 2), 6).alias("ahead_strict"), r(windows.forward_lenient(c, BY, 2), 6).alias("ahead_lenient"),
+        "entity", "period", F.lag(c).over(by()).alias("lag1"), F.lead(c, 2).over(by()).alias("lead2"), r(windows.difference(c, by()), 6).alias("diff"),
+        *(r(windows.rolling(c, by(), 3, how), 6).alias(f"{how}3") for how in ("mean", "sum", "max")), r(windows.rolling(c, by(), 3, "mean", 2), 6).alias("mean3_two"),
+        r(windows.rolling(c, by(), 3, "sd", 2), 3).alias("sd3"), r(windows.running_total(c, by()), 6).alias("total"), r(windows.drawdown(c, by()), 6).alias("down"),
+        r(windows.forward_strict(c, by(), 2), 6).alias("ahead_strict"), r(windows.forward_lenient(c, by(), 2), 6).alias("ahead_lenient"),
     )
 
 
@@ -149,10 +153,10 @@ def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of each row that read earlier rows alone."""
-    earlier = {k: F.avg("revenue").over(BY.rowsBetween(-k, -1)) for k in (3, 6)}
+    earlier = {k: F.avg("revenue").over(by().rowsBetween(-k, -1)) for k in (3, 6)}
     return panel(spark, sf_dir).select(
-        "entity", "period", *(r(v, 6).alias(f"mean{k}") for k, v in earlier.items()), F.lag("revenue").over(BY).alias("last"),
-        (F.row_number().over(BY) - 1).cast("long").alias("history"), (F.col("period") - F.lag("period").over(BY)).alias("gap"),
+        "entity", "period", *(r(v, 6).alias(f"mean{k}") for k, v in earlier.items()), F.lag("revenue").over(by()).alias("last"),
+        (F.row_number().over(by()) - 1).cast("long").alias("history"), (F.col("period") - F.lag("period").over(by())).alias("gap"),
     )
 
 

@@ -11,7 +11,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=False, quote='"', escape='"', multiLine=True, nullValue="\0")
     head = raw.first()
     names = list(head) if head else []
-    first = {n: c for n, c in reversed(list(zip(names, raw.columns, strict=True))) if n is not None}
+    first: dict[str, str] = {}
+    for n, c in zip(names, raw.columns, strict=False):
+        if n is not None:
+            first.setdefault(n, c)
     body = spark.read.csv(path, header=True, schema=raw.schema, quote='"', escape='"', multiLine=True, nullValue="\0", enforceSchema=True)
     return body.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for n, c in first.items()))
 
