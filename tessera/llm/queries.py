@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import langid, licenses, line_dedup, mixing, packing, quality_knn, quality_rules, simhash, token_store, vector_dedup
 from .common import materialise, new_path
+from .oracle import ORACLE_SQL
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,4 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_vector_dedup": op10_vector_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "documents", "remainder", "vocabulary"]
