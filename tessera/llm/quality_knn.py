@@ -1,7 +1,7 @@
 """Text quality by nearest-neighbour votes in a latent-semantic space.
 
-A text is its counts of hashed byte trigrams and of four-grams of character kinds,
-damped, weighted by inverse document frequency and projected on the leading singular
+A text is its counts of hashed byte trigrams, of four-grams of character kinds and of
+distances between equal words, damped, weighted by inverse document frequency and projected on the leading singular
 vectors of a bounded labelled sample.  The sample's vectors are broadcast (their
 number and width are parameters), and every document's cosine with all of them is one
 block of a matrix product.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Labelled rows of each class that are learned, hash buckets of each kind of gram,
 #: latent dimensions, neighbours that vote and the power of the cosine that weights them.
 PER_CLASS, BUCKETS, DIMENSIONS, NEIGHBOURS, POWER = 2000, 2048, 64, 15, 4
+#: Buckets of the distance to the last equal word (powers of two, then none), and their weight.
+DISTANCES, REPEAT_WEIGHT = 16, 10.0
 _BLOCK_ROWS, _BLOCK_BYTES = 256, 4_000_000
 
 
@@ -31,11 +33,37 @@ def _kinds() -> np.ndarray:
 
 
 _KINDS = _kinds()
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MIX = np.random.default_rng(0).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_distances(raw: np.ndarray) -> np.ndarray:
+    """How many words have their last equal one 1, 2-3, 4-7, ... words before, or none."""
+    inside = np.flatnonzero(~_SPACES[raw])
+    out = np.zeros(DISTANCES, np.float32)
+    if not len(inside):
+        return out
+    first = np.flatnonzero(np.diff(inside, prepend=-2) > 1)
+    size = np.diff(np.append(first, len(inside)))
+    place = np.arange(len(inside)) - np.repeat(first, size)
+    mixed = (raw[inside].astype(np.uint64) + np.uint64(1)) * _MIX[place % 64] * (place // 64 + 1).astype(np.uint64)
+    names = np.add.reduceat(mixed, first)
+    order = np.argsort(names, kind="stable")
+    same = names[order[1:]] == names[order[:-1]]
+    back = (order[1:] - order[:-1])[same]
+    at = np.minimum(np.log2(back).astype(np.int64), DISTANCES - 2)
+    out += np.bincount(at, minlength=DISTANCES)
+    out[DISTANCES - 1] = len(names) - len(back)
+    return out
+
+
+def width(buckets: int = BUCKETS) -> int:
+    return 2 * buckets + DISTANCES
 
 
 def gram_counts(texts: list[str | None], buckets: int = BUCKETS) -> np.ndarray:
-    """log(1 + count) of the hashed grams of every whole text."""
-    out = np.zeros((len(texts), 2 * buckets), np.float32)
+    """log(1 + count) of the hashed grams and word distances of every whole text."""
+    out = np.zeros((len(texts), width(buckets)), np.float32)
     shift = np.uint32(32 - (buckets.bit_length() - 1))
     for i, text in enumerate(texts):
         raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -45,8 +73,11 @@ def gram_counts(texts: list[str | None], buckets: int = BUCKETS) -> np.ndarray:
             out[i, :buckets] = np.bincount(three, minlength=buckets)
         if len(b) > 3:
             four = (k[:-3] | k[1:-2] << np.uint32(8) | k[2:-1] << np.uint32(16) | k[3:] << np.uint32(24)) * np.uint32(0x85EBCA77) >> shift
-            out[i, buckets:] = np.bincount(four, minlength=buckets)
-    return np.log1p(out, out=out)
+            out[i, buckets : 2 * buckets] = np.bincount(four, minlength=buckets)
+        out[i, 2 * buckets :] = word_distances(raw)
+    np.log1p(out, out=out)
+    out[:, 2 * buckets :] *= REPEAT_WEIGHT
+    return out
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -111,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neigh
         some = labels.where(F.col("label") == label).orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.union(some)
     if chosen is None:
-        return Neighbours.fit(np.zeros((0, 2 * BUCKETS), np.float32), np.zeros(0, np.float32), population)
+        return Neighbours.fit(np.zeros((0, width()), np.float32), np.zeros(0, np.float32), population)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neigh
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     found = sample.mapInArrow(counted, "doc_id long, label int, grams binary").toArrow().sort_by("doc_id")
     flat = b"".join(found.column("grams").to_pylist())
-    grams = np.frombuffer(flat, np.float16).reshape(-1, 2 * BUCKETS).astype(np.float32)
+    grams = np.frombuffer(flat, np.float16).reshape(-1, width()).astype(np.float32)
     return Neighbours.fit(grams, found.column("label").to_numpy(), population)
 
 

@@ -124,10 +124,10 @@ def test_neighbours_learn_quality(spark):
 
 def test_votes_are_exact_cosines():
     dice = np.random.default_rng(1)
-    counts = dice.poisson(0.3, (80, 2 * quality_knn.BUCKETS)).astype(np.float32)
+    counts = dice.poisson(0.3, (80, quality_knn.width())).astype(np.float32)
     labels = dice.integers(0, 2, 80).astype(np.float32)
     m = quality_knn.Neighbours.fit(counts, labels, {0: int((labels == 0).sum()), 1: int(labels.sum())})
-    x = dice.poisson(0.3, (5, 2 * quality_knn.BUCKETS)).astype(np.float32)
+    x = dice.poisson(0.3, (5, quality_knn.width())).astype(np.float32)
     got = m.score(x)
     for row, s in zip(x, got, strict=True):
         z = row * m.idf
