@@ -66,9 +66,10 @@ def calibrate(
     spark = annotated.sparkSession
     cells = annotated.groupBy(*(k.alias(n) for n, k in _keys().items())).agg(F.sum("n_tokens").cast("double").alias("base"))
     cells = materialise(cells.where("base > 0"))
-    few = cells.count() <= FEW_CELLS
-    one = (lambda df: df.coalesce(1)) if few else (lambda df: df)
-    cells = one(cells).withColumn("base", F.col("base") / F.sum("base").over(Window.partitionBy(F.lit(0))))
+    size = cells.agg(F.count(F.lit(1)).alias("n"), F.sum("base").alias("tokens")).first()
+    # of few cells one task holds all, and no window needs an exchange
+    one = (lambda df: df.coalesce(1)) if size["n"] <= FEW_CELLS else (lambda df: df)
+    cells = one(cells).withColumn("base", F.col("base") / F.lit(size["tokens"] or 1.0))
     for m in MARGINS:
         if targets and m in targets:
             rows = [("" if k is None else f"={k}", float(v)) for k, v in targets[m].items()]
@@ -76,10 +77,10 @@ def calibrate(
             cells = one(cells.join(F.broadcast(given), f"k_{m}", "left")).fillna(0.0, [f"t_{m}"])
         else:
             cells = cells.withColumn(f"t_{m}", F.pow(F.sum("base").over(Window.partitionBy(f"k_{m}")), F.lit(power)))
-        # each value once: its cells share it
-        each = F.count(F.lit(1)).over(Window.partitionBy(f"k_{m}"))
-        cells = cells.withColumn(f"t_{m}", F.col(f"t_{m}") / F.sum(F.col(f"t_{m}") / each).over(Window.partitionBy(F.lit(0))))
     cells = materialise(cells.withColumn("raked", F.col("base")))
+    for m in MARGINS:
+        norm = cells.groupBy(f"k_{m}").agg(F.first(f"t_{m}").alias("t")).agg(F.sum("t")).first()[0]
+        cells = cells.withColumn(f"t_{m}", F.col(f"t_{m}") / F.lit(norm or 1.0))
     for _ in range(ROUNDS):
         raked = one(cells)
         for _ in range(SWEEPS):
@@ -91,16 +92,15 @@ def calibrate(
         worst = cells.agg(F.max("off")).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
-    # the fullest cells are kept whole, the rest share what is left of the budget
-    by_need = Window.partitionBy(F.lit(0)).orderBy(F.desc("need"), *(f"k_{m}" for m in MARGINS))
-    before = by_need.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = one(cells).withColumn("need", F.col("raked") / F.col("base"))
-    rest = F.sum("raked").over(Window.partitionBy(F.lit(0))) - F.coalesce(F.sum("raked").over(before), F.lit(0.0))
-    budget = fraction - F.coalesce(F.sum("base").over(before), F.lit(0.0))
-    ranked = ranked.withColumn("scale", F.when(rest > 0, F.greatest(budget, F.lit(0.0)) / rest))
-    scale = F.max(F.when(F.col("scale") * F.col("need") <= 1, F.col("scale"))).over(Window.partitionBy(F.lit(0)))
-    probability = F.when(F.col("need") > 0, F.least(F.lit(1.0), F.coalesce(scale, F.lit(float("inf"))) * F.col("need"))).otherwise(0.0)
-    return ranked.select(*(f"k_{m}" for m in MARGINS), probability.alias("probability"))
+    # cells whose probability would exceed 1 are kept whole; the rest share what is left of the budget
+    need, scale, full = F.col("raked") / F.col("base"), fraction, None
+    while True:
+        whole = need * scale >= 1
+        s = cells.agg(F.count_if(whole).alias("n"), F.sum(F.when(whole, F.col("base"))).alias("kept"), F.sum(F.when(~whole, F.col("raked"))).alias("rest")).first()
+        if s["n"] == full or not s["rest"]:
+            break
+        full, scale = s["n"], max(scale, (fraction - (s["kept"] or 0.0)) / s["rest"])
+    return cells.select(*(f"k_{m}" for m in MARGINS), F.least(F.lit(1.0), need * scale).alias("probability"))
 
 
 def draw(id_col: str = "doc_id") -> Column:
