@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 TRAIN_DOCS, TRAIN_WORDS, ROUNDS = 400, 20_000, 4
 #: Probability of a character that no piece covers, weight of unseen pieces, and the
 #: words that a worker remembers.
-UNKNOWN, SMOOTH, MEMO_ENTRIES = 1e-8, 0.05, 500_000
-BATCH_CHARS = 2_000_000
+UNKNOWN, SMOOTH, MEMO_ENTRIES = 1e-8, 0.05, 250_000
+BATCH_CHARS = 1_000_000
 _LONGEST, _BITS = 12, 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)

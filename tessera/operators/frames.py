@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 AGGREGATIONS = {
     "mean": F.avg,
     "sum": F.sum,
@@ -51,23 +53,11 @@ def summary(df: DataFrame, c: str) -> DataFrame:
     return df.agg(F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("missing"))
 
 
-def strided(df: DataFrame, key: list[str], limit: int) -> DataFrame:
-    """Every k-th row in key order, k the least that leaves ``limit`` rows or fewer."""
-    n = df.count()
-    k = max(1, -(-n // limit))
-    if k == 1:
-        return df
-    numbered = number(df, key)
-    return numbered.where(F.col("_n") % k == 0).drop("_n")
-
-
-def number(df: DataFrame, key: list[str]) -> DataFrame:
-    """Add ``_n``, the 0-based place of each row in key order, without one task for all rows."""
-    parted = df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    sizes = parted.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"), F.min("_m").alias("_first"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_p", "_first", before.alias("_before"))
-    return parted.join(F.broadcast(starts), "_p").withColumn("_n", F.col("_before") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_first", "_before")
+def strided(df: DataFrame, key: str, limit: int, tie: list[str] | None = None) -> DataFrame:
+    """Every k-th row in order of a numeric key, k the least that leaves ``limit`` rows or fewer."""
+    k = max(1, -(-df.count() // limit))
+    numbered = running(df.withColumn("_one", F.lit(1)), key, {"_n": "_one"}, tie)
+    return numbered.where(F.col("_n") % k == 0).drop("_n", "_one")
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import least_after, running, value_ranks
 from .windows import average_rank
 
 
@@ -72,9 +73,9 @@ def density(df: DataFrame, c: str, points: int = 64) -> DataFrame:
 def ecdf(df: DataFrame, c: str) -> DataFrame:
     """``value`` and ``share`` of values up to it: counts of distinct values, then a running sum."""
     counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("value")
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counts.select("value", (F.sum("n").over(w) / total).alias("share"))
+    total = counts.agg(F.sum("n").alias("_all"))  # one row
+    upto = running(counts, "value", {"_before": "n"}).crossJoin(F.broadcast(total))
+    return upto.select("value", ((F.col("_before") + F.col("n")) / F.col("_all")).alias("share"))
 
 
 def box(df: DataFrame, c: str, by: list[str]) -> DataFrame:
@@ -107,10 +108,15 @@ def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataF
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    by = by or []
+    """Pearson's r of average ranks; over all rows the ranks come from counts of distinct values."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = rows.select(*by, average_rank(F.col(a), by).alias("a"), average_rank(F.col(b), by).alias("b"))
-    return pearson(ranked, "a", "b", by)
+    if by:
+        ranked = rows.select(*by, average_rank(F.col(a), by).alias("a"), average_rank(F.col(b), by).alias("b"))
+        return pearson(ranked, "a", "b", by)
+    rows = rows.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    for c, name in (("_a", "a"), ("_b", "b")):
+        rows = rows.join(value_ranks(rows, c).select(F.col("value").alias(c), F.col("rank").alias(name)), c)
+    return pearson(rows, "a", "b")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -192,9 +198,9 @@ def rank_sum(df: DataFrame, c: str, label: str) -> DataFrame:
     """
     rows = df.where(F.col(c).isNotNull() & F.col(label).isin(0, 1))
     counts = rows.groupBy(F.col(c).alias("v")).agg(F.count_if(F.col(label) == 1).alias("a"), F.count_if(F.col(label) == 0).alias("b"))
-    t = F.col("a") + F.col("b")
-    below = F.coalesce(F.sum(t).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (t + 1) / 2.0)
+    counts = counts.withColumn("t", F.col("a") + F.col("b"))
+    t = F.col("t")
+    ranked = running(counts, "v", {"_before": "t"}).withColumn("rank", F.col("_before") + (t + 1) / 2.0)
     s = ranked.agg(
         F.sum("a").alias("n_1"), F.sum("b").alias("n_0"), F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum(F.pow(t.cast("double"), F.lit(3)) - t).alias("ties")
     )
@@ -215,10 +221,11 @@ def proportions(df: DataFrame, success: str, label: str) -> DataFrame:
 
 def false_discovery(df: DataFrame, p: str) -> DataFrame:
     """Benjamini-Hochberg: ``q`` is the least p * m / rank of this and larger p."""
-    up, n = Window.orderBy(p), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    ranked = df.where(F.col(p).isNotNull()).withColumn("_raw", F.col(p) * n / F.row_number().over(up))
-    q = F.min("_raw").over(Window.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("q", F.least(F.lit(1.0), q)).drop("_raw")
+    rows = df.where(F.col(p).isNotNull()).withColumn("_one", F.lit(1))
+    total = rows.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    ranked = running(rows, p, {"_before": "_one"}).crossJoin(F.broadcast(total))
+    ranked = ranked.withColumn("_raw", F.col(p) * F.col("_all") / (F.col("_before") + 1))
+    return least_after(ranked, p, "_raw", "_q").withColumn("q", F.least(F.lit(1.0), "_q")).drop("_one", "_before", "_all", "_raw", "_q")
 
 
 def standard_normal_cdf(x: Column) -> Column:

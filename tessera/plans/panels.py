@@ -200,7 +200,7 @@ def summarised(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, CAST(ceil(count(*) OVER () / 1000) AS BIGINT) AS k FROM orders) SELECT o_orderkey FROM k WHERE i % k = 0",
 )
 def strided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.strided(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 1000)
+    return frames.strided(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 1000)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import domain as D
 from tessera.operators import factors, ledger, stats, windows
+from tessera.operators.ordering import running
 from tessera.plans.tables import MATCHES, PANEL, TEAM_MATCHES, matches, panel, query, r, table, team_matches
 
 
@@ -149,9 +150,10 @@ def two_sample_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kolmogorov-Smirnov distance of two samples, over counts of distinct values."""
     k = table(spark, sf_dir, "orders").selectExpr("o_totalprice AS v", "CAST(o_orderstatus = 'F' AS INT) AS y")
     c = k.groupBy("v").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    up, whole = Window.orderBy("v"), Window.partitionBy(F.lit(0))
-    d = F.abs(F.sum("a").over(up) / F.sum("a").over(whole) - F.sum("b").over(up) / F.sum("b").over(whole))
-    return c.select(d.alias("d")).agg(r(F.max("d"), 9).alias("d"))
+    total = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))  # one row
+    c = running(c, "v", {"ua": "a", "ub": "b"}).crossJoin(F.broadcast(total))
+    d = F.abs((F.col("ua") + F.col("a")) / F.col("na") - (F.col("ub") + F.col("b")) / F.col("nb"))
+    return c.agg(r(F.max(d), 9).alias("d"))
 
 
 @query(
@@ -178,8 +180,8 @@ def signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = windows.difference(F.col("revenue"), Window.partitionBy("entity").orderBy("period"))
     rows = panel(spark, sf_dir).select(d.alias("d")).where("d <> 0")
     c = rows.groupBy(F.abs("d").alias("v")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("p"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = c.select("t", "p", (below + (F.col("t") + 1) / 2.0).alias("rank")).agg(F.sum("t").alias("n"), F.sum(F.col("p") * F.col("rank")).alias("w"))
+    c = running(c, "v", {"below": "t"}).withColumn("rank", F.col("below") + (F.col("t") + 1) / 2.0)
+    s = c.agg(F.sum("t").alias("n"), F.sum(F.col("p") * F.col("rank")).alias("w"))
     n = F.col("n").cast("double")
     z = (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     return s.select("n", r("w", 3).alias("w"), r(F.when(F.col("n") >= 6, z)).alias("z"))

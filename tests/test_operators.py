@@ -101,7 +101,7 @@ def test_difference_and_upsert(spark):
 
 
 def test_strided_is_in_key_order(spark):
-    got = [r["id"] for r in frames.strided(spark.range(1000).repartition(7), ["id"], 90).orderBy("id").collect()]
+    got = [r["id"] for r in frames.strided(spark.range(1000).repartition(7), "id", 90).orderBy("id").collect()]
     assert got == list(range(0, 1000, 12))
 
 
@@ -175,3 +175,20 @@ def test_streams(spark, tmp_path):
     for run in ("one", "two"):
         S.keep_current(stream, lambda: held["df"], write, ["id"], ["kind"], str(tmp_path / run)).awaitTermination()
     assert held["df"].count() == 101 and len(writes) == 1 and held["df"].where("id = 999").first()["kind"] == "kept"
+
+
+def test_ranks_and_running_sums_by_parts(spark):
+    from tessera.operators.ordering import least_after, running, value_ranks
+
+    dice = random.Random(8)
+    rows = [(i, dice.choice([None, *map(float, range(12))]), dice.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, v double, w double").repartition(5)
+    present = sorted(v for _, v, _ in rows if v is not None)
+    for r in value_ranks(df, "v").collect():
+        places = [i + 1 for i, v in enumerate(present) if v == r["value"]]
+        assert (r["n"], r["rank"]) == (len(places), sum(places) / len(places))
+    got = {r["id"]: r["s"] for r in running(df, "w", {"s": "w"}).collect()}
+    assert got == pytest.approx({i: sum(x for _, _, x in rows if x < w) for i, _, w in rows})
+    low = {r["id"]: r["m"] for r in least_after(df, "w", "id", "m").collect()}
+    assert low == {i: min(j for j, _, x in rows if x >= w) for i, _, w in rows}
+    assert running(df.limit(0), "w", {"s": "w"}).count() == 0
