@@ -25,7 +25,7 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir)
     p = p.withColumn("score", F.lag("revenue").over(Window.partitionBy("entity").orderBy("period")))
     led = ledger.replay(p, "entity", "period", "score", "revenue", 11, 4.0)
-    return led.select("period", r("points", 4).alias("points"), "captain", "changes", "cost", *(r(c, 4).alias(c) for c in ("net", "total", "drawdown")))
+    return led.select("period", r("points", 4).alias("points"), "captain", "changes", F.col("cost").cast("decimal(21,1)").alias("cost"), *(r(c, 4).alias(c) for c in ("net", "total", "drawdown")))
 
 
 @query(
