@@ -5,7 +5,7 @@ where no pre-token of the supported tokenizers can cross; each chunk's ids are
 looked up in a bounded memo, and the library encodes only chunks it has not seen.
 A chunk of letters with one closing mark is looked up as the two pre-tokens it
 is.  A text with white space for which the cut does not hold (tabs, carriage
-returns, runs of white space, other Unicode spaces) is encoded whole.
+returns, runs of white space, other Unicode spaces, a space at the end) is encoded whole.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ class ChunkEncoder:
                 memo[chunk] = self._chunk(chunk)
 
     def _batch(self, texts: list[str]) -> Iterator[bytes]:
-        whole = {i for i, t in enumerate(texts) if _FIRST in t or _ODD.search(t) or any(r in t for r in _RUNS)}
+        whole = {i for i, t in enumerate(texts) if t.endswith(" ") or _FIRST in t or _ODD.search(t) or any(r in t for r in _RUNS)}
         cut = [None if i in whole else (_FIRST + t).replace("\n", " \n").split(" ") for i, t in enumerate(texts)]
         memo, known = self.memo, len(self.memo)
         self._learn(set(chain.from_iterable(c for c in cut if c)).difference(memo))

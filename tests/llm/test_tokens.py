@@ -39,6 +39,13 @@ def test_chunks_encode_as_the_whole(name, monkeypatch):
     assert list(ChunkEncoder(public_tokenizers.path(name)).encode(texts)) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_space_at_the_end_is_encoded(name):
+    texts = ["abc ", " ", "a b ", "x\ny ", " a", "a\n"]
+    t = plain(name)
+    assert list(ChunkEncoder(public_tokenizers.path(name)).encode(texts)) == [ids(t, x, 0)[:-1].tobytes() for x in texts]
+
+
 def test_token_store_round_trip(spark):
     rows = make()
     docs = frame(spark, rows).selectExpr("*", "1 AS start", "2 AS shard")
