@@ -113,7 +113,7 @@ class Unigrams:
             if t % 16 == 0:  # keep the last sums within range
                 by = alpha[t].copy()
                 alpha[max(0, t - _LONGEST) : t + 1] /= by
-                scale[t] += np.log(by)
+                scale[max(0, t - _LONGEST) : t + 1] += np.log(by)
         return alpha, scale, lattice
 
     def fit(self, counts: list[Counter], rounds: int = ROUNDS) -> None:
@@ -124,7 +124,7 @@ class Unigrams:
             for lang, counted in enumerate(counts):
                 one = Unigrams.__new__(Unigrams)
                 one.pieces, one.langs, one.p = self.pieces, [""], self.p[:, lang : lang + 1]
-                words = [w for w in counted if len(w) < 16]  # below the first rescaling
+                words = list(counted)
                 for some, wide in _by_width(words):
                     group = [words[i] for i in some]
                     expected[:, lang] += one._expected(group, np.array([counted[w] for w in group], float), wide)
@@ -136,20 +136,27 @@ class Unigrams:
             self.p = smooth / np.maximum(smooth.sum(axis=0, keepdims=True), 1e-300)
 
     def _expected(self, words: list[str], weight: np.ndarray, wide: int) -> np.ndarray:
-        alpha, _, lattice = self._alpha(words, wide)
+        alpha, scale, lattice = self._alpha(words, wide)
         size, rows = np.array([len(w) for w in words]), np.arange(len(words))
-        a, p = alpha[:, :, 0], self.p[:, 0]
+        a, before, p = alpha[:, :, 0], scale[:, :, 0], self.p[:, 0]
         beta = np.zeros((wide + 1, len(words)))
+        after = np.zeros_like(beta)
         beta[size, rows] = 1
         for t in range(wide - 1, -1, -1):
             for m in range(1, min(wide - t, len(lattice)) + 1):
                 beta[t] += p[lattice[m - 1][:, t]] * beta[t + m]
             beta[t] += UNKNOWN * beta[t + 1]
+            after[t] = after[t + 1]
+            if t % 16 == 0:
+                by = np.where(beta[t] > 0, beta[t], 1.0)  # zero beyond the word
+                beta[t : t + _LONGEST + 1] /= by
+                after[t : t + _LONGEST + 1] += np.log(by)
         expected = np.zeros(len(p))
         for m in range(1, len(lattice) + 1):
             for t in range(wide - m + 1):
                 ids = lattice[m - 1][:, t]
-                share = a[t] * p[ids] * beta[t + m] / beta[0]
+                scaled = np.exp(np.minimum(before[t] + after[t + m] - after[0], 700.0))
+                share = a[t] * p[ids] * beta[t + m] / beta[0] * scaled
                 expected += np.bincount(ids % len(p), weights=share * weight, minlength=len(p))
         return expected
 

@@ -80,6 +80,55 @@ def test_forward_pass_sums_all_segmentations():
     assert got[-1] == pytest.approx([np.log(memo[k][-1]) for k in (0, 1)])
 
 
+def long_words():
+    pieces = langid.Pieces(["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "bab", "abba"])
+    model = langid.Unigrams(pieces, ["x", "y"])
+    model.p[:-1] = np.random.default_rng(5).uniform(0.01, 0.2, (len(pieces.pieces), 2))
+    dice = np.random.default_rng(6)
+    return model, ["▁" + "".join(dice.choice(list("aabbz"), n)) for n in [*range(13, 19), *range(29, 35), 200]]
+
+
+def log_sums(model, word, lang):
+    """Logs of the sums over segmentations of every start of the word."""
+    at = {p: i for i, p in enumerate(model.pieces.pieces)}
+    sums = [0.0]
+    for t in range(1, len(word) + 1):
+        terms = [sums[t - 1] + np.log(langid.UNKNOWN)]
+        terms += [sums[t - m] + np.log(model.p[at[word[t - m : t]], lang]) for m in range(1, min(t, 12) + 1) if word[t - m : t] in at]
+        sums.append(np.logaddexp.reduce(terms))
+    return sums
+
+
+def test_long_words_score_alike_alone_and_together():
+    model, words = long_words()
+    want = [[log_sums(model, w, k)[-1] for k in (0, 1)] for w in words]
+    assert model.forward(words) == pytest.approx(np.array(want), rel=1e-9)
+    for w, x in zip(words, want, strict=True):
+        assert model.forward([w])[0] == pytest.approx(x, rel=1e-9)
+
+
+def test_long_words_are_fitted():
+    model, words = long_words()
+    one = langid.Unigrams(model.pieces, ["x"])
+    one.p = model.p[:, :1]
+    for group in (words[:6], words[6:12], words[12:], words[2:4], words[8:11]):
+        want = np.zeros(len(one.p))
+        for w in group:
+            left = log_sums(one, w, 0)
+            for t in range(len(w)):
+                for i, piece in enumerate(one.pieces.pieces):
+                    if w.startswith(piece, t):
+                        # the sums after a place are those of what follows it
+                        rest = log_sums(one, w[t + len(piece) :], 0)[-1]
+                        want[i] += 3 * np.exp(left[t] + np.log(one.p[i, 0]) + rest - left[-1])
+        got = one._expected(group, np.full(len(group), 3.0), max(map(len, group)))
+        assert got[:-1] == pytest.approx(want[:-1], rel=1e-6, abs=1e-12)
+    before = one.p.copy()
+    one.fit([Counter({"▁" + "ab" * 9: 5})], rounds=1)
+    i = one.pieces.pieces.index("ab")
+    assert one.p[i, 0] / one.p[one.pieces.pieces.index("abba"), 0] > 100 * before[i, 0] / before[one.pieces.pieces.index("abba"), 0]
+
+
 def test_languages_are_told_apart(spark):
     from tessera.llm.queries import vocabulary
 
