@@ -2,11 +2,13 @@
 
 The histogram of piece lengths, whose size is bounded by the capacity, is all
 that the driver sees.  A covering program chooses how often to use each
-configuration (a multiset of lengths that fits one sequence); multiplicative
-weights price the lengths and a knapsack recursion finds the best configuration
-under those prices.  The fractional solution is rounded down to whole sequences,
-and best fit, again over the histogram, takes what is left.  Spark then numbers the
-pieces of each length and looks up the slot of every number.
+configuration (a multiset of lengths that fits one sequence), in whole numbers;
+weights that fall as a length is covered price the lengths, and a knapsack recursion
+finds the best configuration for each of them under those prices.  The program goes
+on until every piece is placed, filling sequences less and less tightly; best fit,
+again over the histogram, may take what is left at any of those steps or the whole,
+and the least number of sequences wins.  Spark then numbers the pieces of each length
+and looks up the slot of every number.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions
 from .encoding import ChunkEncoder
 
-#: Pricing rounds, how fast a covered length loses weight, and the share of a
-#: sequence that a configuration may leave empty.
-ROUNDS, RATE, WASTE = 240, 0.5, 0.001
+#: How much more a length not yet covered is worth than a covered one, and the shares
+#: of a sequence that a configuration may leave empty, one after the other.
+RATE, WASTE = 0.001, (0.0, 0.001, 0.01, 0.1, 1.0)
 
 Group = tuple[int, list[tuple[int, int]]]
 
@@ -59,46 +61,67 @@ def token_pieces(
     return read.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of greatest total price that fits, by dynamic programming.
+def _knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
+    """For every room the length to take first (0 for none), by dynamic programming.
 
-    ``price[l]`` is the price of length l; -inf where the length does not occur.
+    Of equally good lengths the longest is taken.
     """
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for room in range(1, capacity + 1):
-        sums = best[room - 1 :: -1] + price[1 : room + 1] if room > 1 else best[:1] + price[1:2]
+        sums = best[:room] + price[room:0:-1]  # longest length first
         take = int(sums.argmax())
         if sums[take] > best[room - 1]:
-            best[room], pick[room] = sums[take], take + 1
+            best[room], pick[room] = sums[take], room - take
         else:
             best[room] = best[room - 1]
-    chosen, room = defaultdict(int), capacity
+    return pick
+
+
+def _taken(pick: list[int], room: int) -> dict[int, int]:
+    chosen: dict[int, int] = defaultdict(int)
     while room > 0:
-        chosen[int(pick[room])] += pick[room] > 0
-        room -= max(1, int(pick[room]))
-    chosen.pop(0, None)
-    return {k: int(v) for k, v in chosen.items() if v}
-
-
-def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple, float]:
-    """Configurations and how often to use each, covering ``counts`` about evenly."""
-    lengths = np.flatnonzero(counts)
-    price = np.full(capacity + 1, -np.inf)
-    price[lengths] = lengths / capacity
-    used, covered = defaultdict(float), np.zeros(capacity + 1)
-    for _ in range(rounds if len(lengths) else 0):
-        chosen = best_configuration(price, capacity)
-        if not chosen:
-            break
-        at, times = np.array(list(chosen)), np.array(list(chosen.values()))
-        step = (counts[at] / times).min()
-        used[tuple(sorted(chosen.items(), reverse=True))] += step
-        covered[at] += step * times
-        price[at] *= (1 - rate) ** (step * times / counts[at])
-        # prices only matter by their ratios
-        price[lengths] /= price[lengths].max()
-    # a configuration may run as often as the least covered of its lengths allows
-    return {c: x / max(1.0, max(covered[n] / counts[n] for n, _ in c)) for c, x in used.items()}
+        if pick[room]:
+            chosen[pick[room]] += 1
+        room -= max(1, pick[room])
+    return chosen
+
+
+def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths of greatest total price that fits.
+
+    ``price[l]`` is the price of length l; -inf where the length does not occur.
+    """
+    return dict(_taken(_knapsack(price, capacity).tolist(), capacity))
+
+
+def program(counts: np.ndarray, capacity: int) -> Iterator[tuple[list[Group], np.ndarray]]:
+    """Cover ``counts`` by configurations; yields the groups so far and what they leave.
+
+    One result for each bound of ``WASTE``, when no configuration found wastes less;
+    the last one leaves nothing.
+    """
+    left, groups, waste = counts.copy(), [], list(WASTE)
+    while waste:
+        lengths = np.flatnonzero(left)
+        price = np.full(capacity + 1, -np.inf)
+        # full sequences first: the weights only choose between those about as full
+        price[lengths] = lengths * (1 + RATE * left[lengths] / counts[lengths]) / capacity
+        pick, placed = _knapsack(price, capacity).tolist() if len(lengths) else [], False
+        for length in lengths[::-1].tolist():
+            while left[length]:
+                chosen = _taken(pick, capacity - length)
+                chosen[length] += 1
+                chosen = {n: min(t, int(left[n])) for n, t in chosen.items() if left[n]}
+                if capacity - sum(n * t for n, t in chosen.items()) > waste[0] * capacity:
+                    break
+                times = min(int(left[n]) // t for n, t in chosen.items())
+                groups.append((times, sorted(chosen.items(), reverse=True)))
+                for n, t in chosen.items():
+                    left[n] -= times * t
+                placed = True
+        if not placed:
+            waste.pop(0)
+            yield list(groups), left.copy()
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[Group]:
@@ -142,17 +165,13 @@ def solve(histogram: dict[int, int], capacity: int) -> list[Group]:
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    left, groups = counts.copy(), []
-    wanted = fractional(counts, capacity)
-    for chosen in sorted(wanted, key=lambda c: capacity - sum(n * t for n, t in c)):
-        if capacity - sum(n * t for n, t in chosen) > WASTE * capacity:
+    least = -(-int(counts @ np.arange(capacity + 1)) // capacity)
+    found = best_fit(counts, capacity)
+    for groups, left in program(counts, capacity):
+        if sum(many for many, _ in found) <= least:
             break
-        times = min(int(wanted[chosen]), *(int(left[n] // t) for n, t in chosen))
-        if times:
-            groups.append((times, list(chosen)))
-            for n, t in chosen:
-                left[n] -= times * t
-    return groups + best_fit(left, capacity)
+        found = min(found, groups + best_fit(left, capacity), key=lambda g: sum(many for many, _ in g))
+    return found
 
 
 def _slots(groups: list[Group]) -> pd.DataFrame:

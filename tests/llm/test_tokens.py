@@ -109,3 +109,26 @@ def test_knapsack_finds_the_best_configuration():
         return max([0.0, *(price[n] + brute(room - n) for n in (3, 5, 7, 11) if n <= room)])
 
     assert sum(price[n] * k for n, k in best.items()) == pytest.approx(brute(20)) and sum(n * k for n, k in best.items()) <= 20
+
+
+def test_the_program_covers_every_length():
+    counts = np.zeros(513, np.int64)
+    counts[1:513] = np.random.default_rng(1).integers(1, 9, 512)
+    tokens = counts @ np.arange(513)
+    results = list(packing.program(counts, 512))
+    held = [sum(many * sum(n * k for n, k in contents) for many, contents in groups) for groups, _ in results]
+    assert held[0] > 0.8 * tokens and held[-1] == tokens and not results[-1][1].any()
+    for groups, left in results:
+        assert all(sum(n * k for n, k in contents) <= 512 for _, contents in groups)
+        assert (left >= 0).all() and sum(many * k for many, contents in groups for n, k in contents if n == 7) == counts[7] - left[7]
+
+
+@pytest.mark.parametrize(("seed", "most"), [(1, 2200), (2, 2740)])
+def test_the_program_beats_best_fit_where_lengths_are_few(seed, most):
+    dice = np.random.default_rng(seed)
+    have = {int(n): int(dice.integers(1, 1000)) for n in dice.choice(np.arange(200, 500), 12, replace=False)}
+    counts = np.zeros(1001, np.int64)
+    for n, k in have.items():
+        counts[n] = k
+    plain = sum(many for many, _ in packing.best_fit(counts, 1000))
+    assert sum(many for many, _ in packing.solve(have, 1000)) <= most < plain
