@@ -1,7 +1,8 @@
 """Licence scans: Dice coefficients of word bigrams against licence templates.
 
-The segments of a text are its lines, its paragraphs and itself.  Two sets of sizes
-a and b have a Dice coefficient of t at least only if the smaller is t / (2 - t) of
+The segments of a text are its lines, its paragraphs and itself, and, in what those
+that match leave, the runs of consecutive lines and sentences; comment marks are no
+words.  Two sets of sizes a and b have a Dice coefficient of t at least only if the smaller is t / (2 - t) of
 the larger, so a segment meets only the templates in that range.  A match must also
 hold so many of a template's bigrams that it can't miss all of any subset that is
 larger than the rest; a text without a word of those subsets is passed over.
@@ -18,6 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: A word that stands for a matching segment, so that no run goes on behind it.
+_SPENT = "\nǁ\n"
+#: Ends of lines and sentences.
+_UNIT = r"\n|(?<=[.!?])[\x20\x09-\x0D]+|(?<=[.!?][)\"'”’])[\x20\x09-\x0D]+"
 
 #: Notices and first paragraphs of public licences.
 TEMPLATES = {
@@ -49,12 +54,20 @@ def bigram_set(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
-def _bigrams(segment: Column) -> Column:
+def _words(segment: Column) -> Column:
     spaced = F.regexp_replace(F.lower(segment), r"[^\p{L}\p{N}]+", " ")
-    w = F.filter(F.split(spaced, " "), lambda x: x != "")
+    return F.filter(F.split(spaced, " "), lambda x: x != "")
+
+
+def _pairs(segment: Column) -> Column:
+    w = _words(segment)
     # zip_with pads the shorter list, so the last pair is null and goes
     pairs = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+    return F.filter(pairs, lambda p: p.isNotNull())
+
+
+def _bigrams(segment: Column) -> Column:
+    return F.array_distinct(_pairs(segment))
 
 
 def needed_words(templates: Mapping[str, list[str]], threshold: float) -> list[str]:
@@ -84,7 +97,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
 
     ``license`` is the template with the greatest Dice coefficient to a segment of the
     text (of equal ones the last by name) if that is ``threshold`` or more, else null
-    with a null score; ``n_matches`` counts pairs of segment and template that reach it.
+    with a null score; ``n_matches`` counts pairs of line, paragraph or text and template
+    that reach it, and the templates that a run of lines and sentences reaches in what those leave.
     Null, empty and one-word texts match nothing; equal rows are judged alike; other
     columns are ignored; an empty table gives no rows.
     """
@@ -101,16 +115,60 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     lines = F.split("text", "\n")
     paragraphs = F.split("text", r"\n[\x20\x09-\x0D]*\n")
     segments = F.array_union(F.array_union(lines, paragraphs), F.array("text"))
-    rows = rows.select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), segments), F.array().cast("array<string>")).alias("segments"))
-    sets = F.transform("segments", _bigrams)
-    rows = rows.select("doc_id", F.filter(sets, lambda b: (F.size(b) >= least) & (F.size(b) <= most)).alias("sets"))
+    none = F.array().cast("array<string>")
+    found = F.coalesce(F.when(F.col("text").isNotNull(), segments), none)
+    rows = rows.select("doc_id", "text", found.alias("segments"))
+    sets = F.transform("segments", lambda x: F.struct(x.alias("segment"), _bigrams(x).alias("grams")))
+    rows = rows.select("doc_id", "text", F.filter(sets, lambda b: (F.size(b["grams"]) >= least) & (F.size(b["grams"]) <= most)).alias("sets"))
     known = F.array(*(F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, v)).alias("grams"), F.lit(len(v)).alias("n")) for k, v in grams.items()))
 
     def compare(b: Column) -> Column:
         near = F.filter(known, lambda t: (F.size(b) >= t["n"] * ratio - 1e-6) & (F.size(b) * ratio <= t["n"] + 1e-6))
         return F.transform(near, lambda t: F.struct((2.0 * F.size(F.array_intersect(b, t["grams"])) / (F.size(b) + t["n"])).alias("score"), t["name"].alias("name")))
 
-    matches = F.filter(F.flatten(F.transform("sets", compare)), lambda m: m["score"] >= threshold)
-    rows = rows.select("doc_id", matches.alias("matches"))
+    def holds(t: Column) -> Column:
+        return F.size(F.array_intersect(F.col("hits")["gram"], t["grams"])) >= t["n"] * ratio - 1e-6
+
+    def placed(t: Column) -> Column:
+        """A template with the first and last words of the lines and sentences that its bigrams touch."""
+        mine = F.filter("hits", lambda h: F.array_contains(t["grams"], h["gram"]))
+        first = F.array_distinct(F.flatten(F.transform(mine, lambda h: F.array(h["a"]["lo"], h["b"]["lo"]))))
+        last = F.array_distinct(F.flatten(F.transform(mine, lambda h: F.array(h["a"]["hi"], h["b"]["hi"]))))
+        return F.struct(t["name"].alias("name"), t["grams"].alias("grams"), t["n"].alias("n"), first.alias("first"), last.alias("last"))
+
+    def widest(t: Column) -> Column:
+        """The best score of a run of those lines and sentences whose size is within the bounds."""
+        most = F.floor(t["n"] / ratio + 1e-6).cast("int")
+
+        def score(a: Column, z: Column) -> Column:
+            held = F.slice("run", a + 1, z - a)
+            return 2.0 * F.size(F.array_intersect(held, t["grams"])) / (F.size(F.array_distinct(held)) + t["n"])
+
+        def begun(a: Column, i: Column) -> Column:
+            ends = F.filter(F.slice(t["last"], i + 1, most + 1), lambda z: (z - a <= most) & (z - a >= t["n"] * ratio - 1e-6))
+            return F.array_max(F.transform(ends, lambda z: score(a, z)))
+
+        return F.struct(F.array_max(F.transform(t["first"], begun)).alias("score"), t["name"].alias("name"))
+
+    judged = F.transform("sets", lambda b: F.struct(b["segment"].alias("segment"), F.filter(compare(b["grams"]), lambda m: m["score"] >= threshold).alias("found")))
+    rows = rows.select("doc_id", "text", judged.alias("judged"))
+    # the text, then paragraphs, then lines
+    spent = F.reverse(F.filter("judged", lambda j: F.size(j["found"]) > 0))["segment"]
+    rest = F.aggregate(spent, F.col("text"), lambda whole, x: F.replace(whole, x, F.lit(_SPENT)))
+    rows = rows.select("doc_id", F.flatten(F.col("judged")["found"]).alias("matches"), rest.alias("rest"))
+    every = sorted({g for v in grams.values() for g in v})
+    enough = F.size(F.array_intersect(_pairs(F.col("rest")), F.array(*map(F.lit, every)))) >= least
+    units = F.split(F.when(enough, F.col("rest")), _UNIT)
+    rows = rows.select("doc_id", "matches", F.coalesce(F.transform(units, _words), F.array().cast("array<array<string>>")).alias("units"))
+    tagged = F.flatten(F.transform("units", lambda u: F.transform(u, lambda x, i: F.struct(x.alias("word"), i.alias("i"), F.size(u).alias("m")))))
+    rows = rows.select("doc_id", "matches", tagged.alias("tagged"))
+    spots = F.transform("tagged", lambda x, k: F.struct(x["word"].alias("word"), (k - x["i"]).alias("lo"), (k - x["i"] + x["m"] - 1).alias("hi")))
+    rows = rows.select("doc_id", "matches", spots.alias("spots"))
+    pairs = F.zip_with("spots", F.slice("spots", F.lit(2), F.size("spots")), lambda a, b: F.struct(F.concat(a["word"], F.lit(" "), b["word"]).alias("gram"), a.alias("a"), b.alias("b")))
+    rows = rows.select("doc_id", "matches", F.filter(pairs, lambda x: x["gram"].isNotNull()).alias("pairs"))
+    rows = rows.select("doc_id", "matches", F.col("pairs")["gram"].alias("run"), F.filter("pairs", lambda x: x["gram"].isin(every)).alias("hits"))
+    rows = rows.select("doc_id", "matches", "run", F.transform(F.filter(known, holds), placed).alias("likely"))
+    within = F.filter(F.transform("likely", widest), lambda m: m["score"] >= threshold)
+    rows = rows.select("doc_id", F.concat("matches", within).alias("matches"))
     best = F.array_max("matches")
     return rows.select("doc_id", best["name"].alias("license"), best["score"].alias("score"), F.size("matches").alias("n_matches"))

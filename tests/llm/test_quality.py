@@ -276,3 +276,37 @@ def test_licences_against_all_pairs(spark):
         want.add((r[0], name, None if score is None else round(score, 9), n))
     assert got == want and sum(n > 0 for *_, n in got) > 30
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def best_run(text):
+    """Best score of every template over all runs of lines and sentences, by brute force."""
+    units = [u for u in (re.findall(r"[^\W_]+", u.lower()) for u in re.split(r"\n|(?<=[.!?]) ", text)) if u]
+    best = []
+    for k, t in licenses.TEMPLATES.items():
+        g = set(licenses.bigram_set(t))
+        for a in range(len(units)):
+            for z in range(a, len(units)):
+                w = [x for u in units[a : z + 1] for x in u]
+                held = {f"{x} {y}" for x, y in zip(w, w[1:], strict=False)}
+                best.append((2 * len(held & g) / (len(held) + len(g)), k))
+    return max(best, default=(0, None))
+
+
+def test_wrapped_commented_and_mid_line_notices(spark):
+    t = licenses.TEMPLATES
+    wrap = lambda text, mark: "\n".join(mark + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    rest = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    texts = [
+        "/*\n * Copyright (c) 2020 Some One\n *\n" + wrap(t["MIT"], " * ") + "\n *\n" + wrap(rest + " " + rest, " * ") + "\n */\nint main() { return 0; }",
+        "# tool: does a thing\n#\n" + wrap(t["GPL-3.0"], "# ") + "\n#\n" + wrap("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "# ") + "\nimport os",
+        "We thank all readers of the first edition. " + t["CC-BY-4.0"] + " Figures of other people keep their own terms.",
+        "words before the notice and more of them. Released under the MIT License. and after " * 3,
+        "Licensed under CC BY 4.0.\n\n" + "// start of a file that goes on\n" + wrap(t["GPL-3.0"], "// ") + "\n// and so on for many more words than the notice itself has, " * 5,
+        "no notice here, only a license of the public kind under the general terms of this work, and so on " * 3,
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)])).collect()}
+    assert [got[i]["license"] for i in range(6)] == ["MIT", "GPL-3.0", "CC-BY-4.0", "MIT-notice", "GPL-3.0", None]
+    # besides the line of its own, the wrapped notice counts
+    assert got[0]["n_matches"] == got[3]["n_matches"] == 1 and got[4]["n_matches"] > 1 and got[5]["n_matches"] == 0
+    for i in range(5):
+        assert (got[i]["score"], got[i]["license"]) == (pytest.approx(best_run(texts[i])[0]), best_run(texts[i])[1])
