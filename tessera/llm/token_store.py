@@ -43,8 +43,7 @@ _DIGEST = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 lo
 def _texts(batches: Iterator[pa.RecordBatch], encoder: ChunkEncoder, end: bytes) -> Iterator[tuple[int | None, bytes]]:
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        texts = (t.as_py() for t in batch.column(1))
-        yield from ((i, b + end) for i, b in zip(ids, encoder.encode(texts), strict=True))
+        yield from ((i, b + end) for i, b in zip(ids, encoder.encode(batch.column(1)), strict=True))
 
 
 def _packed(ids: bytes, width: int) -> bytes:
