@@ -1,88 +1,129 @@
-"""Deleting later copies of repeated line runs, by prefix doubling over line ids.
-
-Every document is a sequence of the ids of its lines that hold a word.  Doubling
-names the 2^k lines from each position by the names of its two halves, so after
-log2 steps equal names stand for equal prefixes of suffixes, the buckets of the
-suffix array; two overlapping buckets name a prefix of any length.  The suffixes
-that share a prefix are an LCP interval, so one aggregation by name finds for each
-position the interval at the length where the run reaches ``min_words`` words, with
-its earliest member.  Every repeated run is the union of such intervals, counted
-from its start and from its end, and all members but the earliest are deleted.
-
-A suffix ends with its document and only equality of names is used, so a doubling
-step needs no exchange and ranks are content hashes (two of 64 bits) instead of
-global order numbers; the one exchange carries the names.
+"""Deleting later copies of repeated line runs, by a suffix array over line ids.
+
+Every document is a sequence of the ids of its lines that hold a word; a line that
+occurs once ends it, as no repeated run goes on there.  Prefix doubling ranks the
+suffixes: the ranks of 2^k lines from a place and from 2^k lines further on are a pair,
+the distinct pairs are sorted by ranges, and their order is the rank of 2^(k+1) lines.
+When 2^k reaches the most lines that ``min_words`` words can take, that order is the
+suffix array, of distinct suffixes.  Neighbours in it give the longest common prefixes,
+and the places between two prefixes shorter than n lines are an LCP interval: all
+suffixes that share n lines.  Of each interval the earliest member stays, later ones
+lose their n lines.
+
+A run of ``min_words`` words or more is the union of its shortest parts that reach
+``min_words``, counted from each of its lines on and up to each of its lines, so the
+intervals at those lengths delete every maximal repeated run whole.  Only distinct
+pairs are sorted, so copies, however many, are one row there; places get their ranks by
+joins, whose hot keys are split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import partitions, stored
+
 #: A repeated run counts from this many words on.
 MIN_WORDS = 12
 _WORD = r"[^\\x20\\x09-\\x0D]+"
 
 #: The lines that hold a word, with their place and number of words.
 _SEQUENCE = f"filter(transform(split(text, '\\n'), (l, i) -> struct(i AS at, regexp_count(l, '{_WORD}') AS w, l AS line)), s -> s.w > 0)"
+_PLACE = ["doc_id", "body", "run"]
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``body``, number ``i`` among the lines with a word, line number ``at``,
+    words ``w`` and the name ``p``, ``q`` (128 bits of hash) of every such line."""
+    rows = docs.selectExpr("doc_id", "body", f"posexplode({_SEQUENCE}) AS (i, s)")
+    return rows.selectExpr("doc_id", "body", "i", "s.at AS at", "s.w AS w", "xxhash64(s.line) AS p", "xxhash64('line', s.line) AS q")
+
 
+def ranked(pairs: DataFrame) -> DataFrame:
+    """Add ``rank``, from 1 on and in the order of the distinct pairs ``p``, ``q``."""
+    dealt = pairs.repartitionByRange(partitions(pairs.sparkSession), "p", "q").sortWithinPartitions("p", "q")
+    # ascends with the range and the place in it
+    return dealt.withColumn("rank", F.monotonically_increasing_id() + 1)
 
-def _levels(min_words: int) -> int:
-    """Doublings until 2^k lines, each with a word, must reach ``min_words``."""
-    return max(0, (min_words - 1).bit_length())
 
+def repeated_lines(lines: DataFrame, min_words: int) -> DataFrame:
+    """The lines that occur again, with their ``rank``, in runs of ``min_words`` words or more."""
+    again = lines.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p", "q")
+    # a row that occurs twice, id and text, is one sequence
+    kept = lines.join(ranked(again), ["p", "q"]).drop("p", "q").repartition("doc_id", "body").dropDuplicates(["doc_id", "body", "i"])
+    order = Window.partitionBy("doc_id", "body").orderBy("i")
+    kept = kept.withColumn("run", F.col("i") - F.row_number().over(order))
+    return kept.withColumn("total", F.sum("w").over(Window.partitionBy(*_PLACE))).where(F.col("total") >= min_words).drop("total")
 
-def windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """The shortest line runs of ``min_words`` words from every line on and up to every
-    line of ``doc_id``, ``text``: ``first`` and ``last`` line, and the name ``h1``, ``h2``.
 
-    Arrays that a lambda indexes are columns of an earlier projection that more than
-    one expression reads, which Catalyst does not inline.
+def suffix_ranks(kept: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Places with their last pair, and the suffix array: the distinct pairs with ``rank``
+    and ``ahead``, the ranks of the ``min_words`` lines from there (fewer where a run ends).
+
+    Places have besides ``ats`` and ``ws``, the line numbers and words of those lines.
     """
-    levels = _levels(min_words)
-    rows = docs.selectExpr("doc_id", "body", f"{_SEQUENCE} AS seq").selectExpr(
-        "doc_id", "body", "size(seq) AS n_seq", "transform(seq, s -> s.at) AS line", "transform(seq, s -> s.w) AS w0",
-        "transform(seq, s -> xxhash64(s.line)) AS a0", "transform(seq, s -> xxhash64('line', s.line)) AS b0",
-    )
+    order = Window.partitionBy(*_PLACE).orderBy("i")
+    places = kept.withColumn("line", F.col("rank"))
+    levels = max(1, (min_words - 1).bit_length())
     for k in range(levels):
-        half = 1 << k
-        rows = rows.selectExpr(
-            "*",
-            f"zip_with(w{k}, slice(w{k}, {half + 1}, n_seq), (x, y) -> x + y) AS w{k + 1}",
-            f"zip_with(a{k}, slice(a{k}, {half + 1}, n_seq), (x, y) -> xxhash64(x, y)) AS a{k + 1}",
-            f"zip_with(b{k}, slice(b{k}, {half + 1}, n_seq), (x, y) -> xxhash64(x, y)) AS b{k + 1}",
-        )
-    rows = rows.selectExpr(
-        "doc_id", "body", "n_seq", "line",
-        *(f"array({', '.join(f'{c}{k}' for k in range(levels + 1))}) AS {c}" for c in "wab"),
-    )
-    # from i, step over the blocks whose lines stay below min_words together; one more line reaches it
-    walk = (
-        f"aggregate(array({', '.join(map(str, range(levels, -1, -1)))}), struct(i AS at, 0 AS sum), (s, k) -> IF({{room}} AND s.sum + w[k][{{block}}] < {min_words},"
-        " struct({to} AS at, s.sum + w[k][{block}] AS sum), s), s -> s.at)"
-    )
-    ahead = walk.format(room="s.at + shiftleft(1, k) <= n_seq", block="s.at", to="s.at + shiftleft(1, k)")
-    back = walk.format(room="s.at >= shiftleft(1, k)", block="s.at - shiftleft(1, k)", to="s.at - shiftleft(1, k)")
-    rows = rows.selectExpr(
-        "doc_id", "body", "n_seq", "line", "a", "b",
-        f"IF(n_seq = 0, NULL, transform(sequence(0, n_seq - 1), i -> struct(i AS start, {ahead} + 1 AS stop))) AS forward",
-        f"IF(n_seq = 0, NULL, transform(sequence(1, n_seq), i -> struct({back} - 1 AS start, i AS stop))) AS backward",
-    )
-    runs = "array_union(filter(forward, r -> r.stop <= n_seq), filter(backward, r -> r.start >= 0))"
-    rows = rows.selectExpr("doc_id", "body", "line", "a", "b", f"explode({runs}) AS r")
-    rows = rows.selectExpr("*", "r.stop - r.start AS n", "CAST(floor(log2(r.stop - r.start)) AS INT) AS k")
-    name = "xxhash64(n, {c}[k][r.start], {c}[k][r.stop - shiftleft(1, k)])"
-    return rows.selectExpr(
-        "doc_id", "body", "line[r.start] AS first", "line[r.stop - 1] AS last", f"{name.format(c='a')} AS h1", f"{name.format(c='b')} AS h2"
-    )
+        last = k == levels - 1
+        # nothing is left of a suffix at the end of its run: rank 0
+        places = places.withColumns({"p": F.col("rank"), "q": F.coalesce(F.lead("rank", 1 << k).over(order), F.lit(0).cast("long"))}).drop("rank")
+        if last:
+            here = order.rowsBetween(0, min_words - 1)
+            places = places.withColumns({a: F.collect_list(c).over(here) for a, c in (("ahead", "line"), ("ats", "at"), ("ws", "w"))})
+        places = stored(places, "places")
+        pairs = places.groupBy("p", "q").agg(*([F.first("ahead").alias("ahead")] if last else [F.count(F.lit(1)).alias("n")]))
+        if not last:
+            places = places.join(ranked(pairs.drop("n")), ["p", "q"])
+    return places.drop("ahead"), stored(ranked(pairs), "suffixes")
+
+
+def common_prefixes(suffixes: DataFrame) -> DataFrame:
+    """Add ``lcp``, the lines (of those in ``ahead``) shared with the suffix before, and ``part``."""
+    parts = suffixes.withColumn("part", F.shiftright(F.col("rank") - 1, 33))
+    # one row for each range that was sorted
+    before = parts.groupBy("part").agg(F.max_by("ahead", "rank").alias("last"))
+    before = before.select("part", F.lag("last").over(Window.orderBy("part")).alias("last"))
+    lag = F.lag("ahead").over(Window.partitionBy("part").orderBy("rank"))
+    rows = parts.withColumn("previous", lag).join(F.broadcast(before), "part")
+    differ = F.array_position(F.zip_with("ahead", F.coalesce("previous", "last", F.array().cast("array<bigint>")), lambda x, y: x.eqNullSafe(y)), False)
+    return rows.withColumn("lcp", F.when(differ > 0, differ - 1).otherwise(F.size("ahead"))).drop("previous", "last")
+
+
+def intervals(suffixes: DataFrame, depth: int) -> DataFrame:
+    """Add ``starts``: for n = 1 .. ``depth`` the rank that begins the LCP interval of n lines."""
+    rows = common_prefixes(suffixes)
+
+    def begun(n: int) -> Column:
+        return F.max(F.when(F.col("lcp") < n, F.col("rank")))
+
+    names = [f"s{n}" for n in range(1, depth + 1)]
+    sums = rows.groupBy("part").agg(*(begun(n).alias(c) for n, c in enumerate(names, 1)))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("part", F.array(*(F.max(c).over(earlier) for c in names)).alias("carried"))
+    upto = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("within", F.array(*(begun(n).over(upto) for n in range(1, depth + 1))))
+    starts = F.zip_with("within", "carried", lambda x, y: F.coalesce(x, y))
+    return rows.join(F.broadcast(carried), "part").withColumn("starts", starts).drop("within", "carried")
 
 
 def later_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """The windows that equal an earlier one, in order of (``doc_id``, line)."""
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("first").cast("decimal(11,0)")
-    named = windows(docs, min_words).withColumn("place", place.cast("decimal(38,0)"))
-    intervals = named.groupBy("h1", "h2").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("members"))
-    return named.join(intervals.where("members > 1"), ["h1", "h2"]).where("place > earliest").select("doc_id", "body", "first", "last")
+    """The shortest runs of ``min_words`` words, from a line on or up to it, that equal an
+    earlier one, in order of (``doc_id``, line): ``doc_id``, ``body``, ``first`` and ``last`` line."""
+    lines = stored(line_table(docs), "lines")
+    places, suffixes = suffix_ranks(repeated_lines(lines, min_words), min_words)
+    known = intervals(suffixes, min_words).select("p", "q", "starts")
+    # lengths at which the words reach the least number and would not without the first or the last line
+    upto = "aggregate(slice(ws, 1, n), 0L, (s, w) -> s + w)"
+    lengths = f"filter(sequence(1, size(ws)), n -> {upto} >= {min_words} AND ({upto} - ws[0] < {min_words} OR {upto} - ws[n - 1] < {min_words}))"
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("at").cast("decimal(11,0)")
+    named = places.withColumn("n", F.explode(F.expr(lengths))).join(known, ["p", "q"])
+    named = named.select("doc_id", "body", "n", F.expr("starts[n - 1]").alias("start"), F.col("at").alias("first"), F.expr("ats[n - 1]").alias("last"), place.cast("decimal(38,0)").alias("place"))
+    named = stored(named, "runs")
+    shared = named.groupBy("n", "start").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return named.join(shared, ["n", "start"]).where("place > earliest").select("doc_id", "body", "first", "last")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

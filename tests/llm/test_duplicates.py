@@ -143,4 +143,47 @@ def test_line_runs_of_awkward_rows(spark):
     rows = [(None, "one two three\nfour", "en", "s", 1), (1, "one two three\nfour", "en", "s", 1), (1, "one two three\nfour", "en", "s", 1), (2, None, "en", "s", 1), (3, "", "en", "s", 1)]
     got = sorted((str(r["doc_id"]), str(r["text"])) for r in line_dedup.dedup_lines(frame(spark, rows), 2).collect())
     assert got == sorted((str(r[0]), str(r[1])) for r in rows)
+    run = "one two three\nfour five\n\nsix\nseven eight nine ten"
+    rows = [(4, run, "en", "s", 1)] * 3 + [(5, "first\n" + run + "\nlast", "en", "s", 1), (4, run + "\nother", "en", "s", 1)]
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(frame(spark, rows), 4).collect())
+    assert got == [(4, run)] * 3 + [(4, run + "\nother"), (5, "first\n\nlast")]
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("least", [3, 12])
+def test_suffix_array_and_common_prefixes(spark, least):
+    dice = np.random.default_rng(least)
+    texts = {i: [f"line {dice.integers(0, 3)}" for _ in range(int(dice.integers(1, 40)))] for i in range(40)}
+    texts[7][3:5] = ["only once", "and once more"]
+    rows = [(i, "\n".join(x), "en", "s", 1) for i, x in texts.items()]
+    lines = line_dedup.line_table(frame(spark, rows).selectExpr("doc_id", "1L AS body", "text"))
+    kept = line_dedup.repeated_lines(lines, least).cache()
+    places, suffixes = line_dedup.suffix_ranks(kept, least)
+    deep = 1 << (least - 1).bit_length()
+    rank = {(r["doc_id"], r["i"]): r["rank"] for r in kept.collect()}
+
+    def suffix(doc, i, n):
+        out = []
+        while len(out) < n and (doc, i + len(out)) in rank:
+            out.append(rank[doc, i + len(out)])
+        return out
+
+    found = common = {r["rank"]: r for r in line_dedup.intervals(suffixes, least).collect()}
+    at = {(r["p"], r["q"]): r["rank"] for r in found.values()}
+    want = {(r["doc_id"], r["i"]): suffix(r["doc_id"], r["i"], deep) for r in places.collect()}
+    got = {(r["doc_id"], r["i"]): at[r["p"], r["q"]] for r in places.collect()}
+    assert len(want) > 300 and (7, 3) not in want and (7, 4) not in want
+    # equal ranks for equal suffixes, and one order of both
+    assert len(set(got.values())) == len({tuple(s) for s in want.values()}) == len(found)
+    order = sorted(want, key=lambda k: want[k])
+    assert [got[k] for k in order] == sorted(got.values())
+    content = {got[k]: want[k][:least] for k in want}
+    ranks, starts = sorted(found), {n: None for n in range(1, least + 1)}
+    for before, r in zip([None, *ranks], ranks, strict=False):
+        assert found[r]["ahead"] == content[r]
+        shared = next((n for n, (x, y) in enumerate(zip(content[r], content.get(before, []), strict=False)) if x != y), min(len(content[r]), len(content.get(before, []))))
+        assert common[r]["lcp"] == shared
+        for n in range(1, least + 1):
+            if shared < n:
+                starts[n] = r
+        assert found[r]["starts"] == [starts[n] for n in range(1, least + 1)]
