@@ -17,26 +17,30 @@ c AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) AS r FROM (SELECT doc_id
 s AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id))"""
 
-_G = 1.01 / 0.99
+_G = 1.002 / 0.998
 
 
-def _quartiles(name: str, of: str, by: str) -> str:
-    keys = f"{by}, " if by else ""
-    return f"""{name} AS (SELECT {keys}m, min(v) FILTER (upto > n * 0.25 - 0.25) AS q1, min(v) FILTER (upto > n * 0.75 - 0.75) AS q3, any_value(n) AS n FROM (
- SELECT {keys}m, coalesce(pow({_G!r}, b) * {2 / (_G + 1)!r}, 0) AS v, sum(n) OVER (PARTITION BY {keys}m ORDER BY b NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {keys}m) AS n FROM {of}) GROUP BY {keys}m)"""
+def _lean(name: str, own: str, by: str, wider: str, on: str) -> str:
+    """Sketch rows of ``own`` with those of ``wider`` added as 100 documents."""
+    using = ", ".join(filter(None, (on, "m")))
+    share = f"SELECT {using}, b, 100 * n / sum(n) OVER (PARTITION BY {using}) AS n FROM {wider}"
+    return f"""{name} AS (SELECT {by}, m, b, sum(n) AS n FROM (SELECT {by}, m, b, CAST(n AS DOUBLE) AS n FROM {own}
+ UNION ALL SELECT {by}, m, b, n FROM (SELECT DISTINCT {by}, m FROM {own}) JOIN ({share}) USING ({using})) GROUP BY {by}, m, b)"""
 
 
 QUALITY_RULES = f"""WITH {_COUNTS},
-e AS (SELECT lang, source, unnest(['sym', 'rep', 'dup', 'len']) AS m, unnest([n_symbols / nullif(word_chars, 0), n_repeat_words / nullif(n_words, 0), n_dup_lines / nullif(n_words, 0), word_chars / nullif(n_words, 0)]) AS x FROM s),
+e AS (SELECT lang, source, unnest(['sym', 'rep', 'dup', 'len', 'words', 'chars']) AS m, unnest([n_symbols / nullif(word_chars, 0), n_repeat_words / nullif(n_words, 0), n_dup_lines / nullif(n_words, 0), word_chars / nullif(n_words, 0),
+ CAST(nullif(n_words, 0) AS DOUBLE), CAST(nullif(word_chars, 0) AS DOUBLE)]) AS x FROM s),
 k AS (SELECT lang, source, m, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / {math.log(_G)!r}) AS INTEGER) END AS b, count(*) AS n FROM e WHERE x IS NOT NULL GROUP BY ALL),
 kl AS (SELECT lang, m, b, sum(n) AS n FROM k GROUP BY ALL), ka AS (SELECT m, b, sum(n) AS n FROM k GROUP BY ALL),
-{_quartiles("q0", "k", "lang, source")}, {_quartiles("ql", "kl", "lang")}, {_quartiles("qa", "ka", "")},
-f AS (SELECT q0.lang, q0.source, m, CASE WHEN q0.n >= 100 THEN q0.q1 WHEN ql.n >= 100 THEN ql.q1 ELSE qa.q1 END AS q1, CASE WHEN q0.n >= 100 THEN q0.q3 WHEN ql.n >= 100 THEN ql.q3 ELSE qa.q3 END AS q3
- FROM q0 JOIN ql USING (lang, m) JOIN qa USING (m)),
-h AS (SELECT lang, source, max(q3 + greatest(3 * (q3 - q1), 0.08)) FILTER (m = 'sym') AS sym, max(q3 + greatest(3 * (q3 - q1), 0.15)) FILTER (m = 'rep') AS rep, max(q3 + greatest(3 * (q3 - q1), 0.01)) FILTER (m = 'dup') AS dup,
- max(q3 + greatest(3 * (q3 - q1), 2.5)) FILTER (m = 'len') AS top, max(q1 - greatest(3 * (q3 - q1), 2.0)) FILTER (m = 'len') AS low FROM f GROUP BY 1, 2)
+{_lean("wl", "kl", "lang", "ka", "")}, {_lean("w0", "k", "lang, source", "wl", "lang")},
+q AS (SELECT lang, source, m, min(v) FILTER (round(upto, 6) >= round(n * 0.25, 6)) AS q1, min(v) FILTER (round(upto, 6) >= round(n * 0.75, 6)) AS q3 FROM (
+ SELECT lang, source, m, coalesce(pow({_G!r}, b) * {2 / (_G + 1)!r}, 0) AS v, sum(n) OVER (PARTITION BY lang, source, m ORDER BY b NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, source, m) AS n FROM w0) GROUP BY ALL),
+p AS (SELECT lang, source, {", ".join(f"max({x}) FILTER (m = '{m}') AS {m}_{x}" for m, x in (("sym", "q1"), ("sym", "q3"), ("rep", "q1"), ("rep", "q3"), ("dup", "q1"), ("dup", "q3"), ("len", "q1"), ("len", "q3"), ("words", "q1"), ("chars", "q1")))} FROM q GROUP BY 1, 2),
+h AS (SELECT lang, source, sym_q3 + 4 * greatest(sym_q3 - sym_q1, 8 / chars_q1) AS sym, rep_q3 + 4 * greatest(rep_q3 - rep_q1, 8 / words_q1) AS rep, dup_q3 + 4 * greatest(dup_q3 - dup_q1, 2 / words_q1) AS dup, len_q1, len_q3 FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
- NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(n_symbols / nullif(word_chars, 0) <= sym AND n_repeat_words / n_words <= rep AND n_dup_lines / n_words <= dup AND word_chars / n_words BETWEEN low AND top, true) AS kept
+ NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(n_symbols / nullif(word_chars, 0) <= sym AND n_repeat_words / n_words <= rep AND n_dup_lines / n_words <= dup
+ AND word_chars / n_words BETWEEN len_q1 - 4 * greatest(len_q3 - len_q1, 2.5 / sqrt(n_words)) AND len_q3 + 4 * greatest(len_q3 - len_q1, 2.5 / sqrt(n_words)), true) AS kept
 FROM s LEFT JOIN h USING (lang, source)"""
 
 LINE_DEDUP = f"""WITH l AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),

@@ -42,6 +42,27 @@ def test_rules_drop_what_stands_out(spark):
     assert not any(kept[1000 + i] for i in range(20)) and sum(kept[i] for i in range(400)) > 390
 
 
+def test_limits_differ_with_the_spread_of_a_group(spark):
+    dice = np.random.default_rng(7)
+    rows = [(int(1000 * x), g) for g, spread in (("narrow", 0.1), ("wide", 0.8)) for x in dice.normal(5, spread, 3000)]
+    rows += [(5000, "few")] * 5
+    df = spark.createDataFrame(rows, "word_chars long, g_source string").selectExpr("*", "'=en' AS g_lang", "1000L AS n_words", "0L AS n_symbols", "0L AS n_repeat_words", "0L AS n_dup_lines")
+    got = {r["g_source"]: r["limits"] for r in quality_rules.cutoffs(df).collect()}
+    apart = {g: x["q3"] - x["q1"] for g, x in got.items()}
+    assert 0.1 < apart["narrow"] < 0.25 and 0.9 < apart["wide"] < 1.3
+    # a few documents say little, so their group leans on its language
+    assert 0 < apart["few"] < apart["wide"]
+    alone = quality_rules.quartiles(quality_rules.sketch(df, ["g_source"]).where("measure = 'word_length'"), ["g_source"])
+    assert {r["g_source"]: r["q3"] - r["q1"] for r in alone.collect()}["few"] == 0
+
+
+def test_rules_keep_columns_that_clash(spark):
+    docs = frame(spark, make(30)).selectExpr("*", "1 AS hi_word_length", "2 AS lo_x", "3 AS g_lang", "4 AS g_source", "5 AS row", "6 AS limits", "7 AS q1", "8 AS measure")
+    got = quality_rules.judge(docs)
+    assert set(got.columns) == {*docs.columns, *quality_rules.COUNTS, "base_failed", "kept"} - {"text"}
+    assert {(r["hi_word_length"], r["g_lang"], r["row"], r["limits"], r["measure"]) for r in got.collect()} == {(1, 3, 5, 6, 8)}
+
+
 def test_sketches_merge_and_are_close(spark):
     dice = np.random.default_rng(2)
     rows = [(str(i % 3), int(a), int(b)) for i, (a, b) in enumerate(dice.integers(1, 1000, (3000, 2)))]
