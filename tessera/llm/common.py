@@ -18,12 +18,14 @@ SPACE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (a local
-    session, as in tests) a folder of this machine is made and registered.
+    Read from ``spark.checkpoint.dir``; only where that is unset in a local session,
+    as in tests, a folder of this machine is made and registered.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)

@@ -25,8 +25,10 @@ TRAIN_DOCS, TRAIN_WORDS, ROUNDS = 400, 20_000, 4
 #: words that a worker remembers.
 UNKNOWN, SMOOTH, MEMO_ENTRIES = 1e-8, 0.05, 250_000
 BATCH_CHARS = 1_000_000
-_LONGEST, _BITS = 12, 20
+_BITS = 20
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: What a piece of a word can look like.
+_PIECE = re.compile(r"▁?[^\W\d_]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,7 +42,8 @@ class Pieces:
 
     def __init__(self, pieces: Iterable[str]) -> None:
         lowered = dict.fromkeys(p.lower() for p in pieces)
-        self.pieces = [p for p in lowered if 0 < len(p) <= _LONGEST]
+        self.pieces = [p for p in lowered if p and _PIECE.fullmatch(p)]
+        self.longest = max(map(len, self.pieces), default=1)
         hashes = [self._hash(p) for p in self.pieces]
         # codes that share a slot go on to the next table
         self.tables: list[tuple[np.ndarray, int]] = []
@@ -74,7 +77,7 @@ class Pieces:
         flat = np.frombuffer("".join(w.ljust(wide, "\0") for w in words).encode("utf-32-le"), "<u4")
         codes = flat.reshape(len(words), wide).astype(np.uint64) + np.uint64(1)
         hashes, out = np.zeros_like(codes), []
-        for m in range(1, min(_LONGEST, wide) + 1):
+        for m in range(1, min(self.longest, wide) + 1):
             hashes = (hashes[:, : wide - m + 1] + codes[:, m - 1 :]) * _BASE
             out.append(self.find(hashes))
         return out
@@ -111,9 +114,9 @@ class Unigrams:
             alpha[t] += alpha[t - 1] * UNKNOWN
             scale[t] = scale[t - 1]
             if t % 16 == 0:  # keep the last sums within range
-                by = alpha[t].copy()
-                alpha[max(0, t - _LONGEST) : t + 1] /= by
-                scale[max(0, t - _LONGEST) : t + 1] += np.log(by)
+                by, since = alpha[t].copy(), max(0, t - self.pieces.longest)
+                alpha[since : t + 1] /= by
+                scale[since : t + 1] += np.log(by)
         return alpha, scale, lattice
 
     def fit(self, counts: list[Counter], rounds: int = ROUNDS) -> None:
@@ -149,8 +152,8 @@ class Unigrams:
             after[t] = after[t + 1]
             if t % 16 == 0:
                 by = np.where(beta[t] > 0, beta[t], 1.0)  # zero beyond the word
-                beta[t : t + _LONGEST + 1] /= by
-                after[t : t + _LONGEST + 1] += np.log(by)
+                beta[t : t + self.pieces.longest + 1] /= by
+                after[t : t + self.pieces.longest + 1] += np.log(by)
         expected = np.zeros(len(p))
         for m in range(1, len(lattice) + 1):
             for t in range(wide - m + 1):
@@ -260,16 +263,17 @@ def identify(docs: DataFrame, model: Unigrams, text_col: str = "text") -> DataFr
                 scores.append(share)
                 held.clear()
 
-            for t in batch.column("_text"):
+            for t in batch.column(1):
                 held.append(t.as_py())
                 chars += len(held[-1] or "")
                 if chars > BATCH_CHARS:
                     flush()
                     chars = 0
             flush()
-            columns = [batch.column(c) for c in others] + [pa.array(labels, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*others, "lang_pred", "score"])
+            columns = [batch.column(0), pa.array(labels, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
 
-    read = docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    kinds = T.StructType([docs.schema[c] for c in others]).add("lang_pred", "string").add("score", "double")
-    return read.mapInArrow(scored, kinds)
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others))
+    read = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kinds = T.StructType([read.schema["row"]]).add("lang_pred", "string").add("score", "double")
+    return read.mapInArrow(scored, kinds).select(*(F.col("row").getField(c).alias(c) for c in others), "lang_pred", "score")

@@ -8,6 +8,7 @@ budget; a document is kept by a hash of its id, so the draw repeats exactly.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +41,8 @@ def topic_of(text: Column) -> Column:
 
 
 def annotate(docs: DataFrame, text_col: str = "text", topic: Column | None = None) -> DataFrame:
-    """Add ``topic`` (by :func:`topic_of` unless given) and ``n_tokens`` (words) to every row."""
+    """Add ``topic`` (by :func:`topic_of`, a text's form, unless a column is given) and
+    ``n_tokens`` (words) to every row; columns so named are replaced."""
     text = F.col(f"`{text_col}`").cast("string")
     return docs.withColumns({"topic": topic_of(text) if topic is None else topic, "n_tokens": F.size(words(text)).cast("long")})
 
@@ -61,7 +63,9 @@ def calibrate(
     ``targets`` may give weights for the values of a margin (a value without one gets
     0); a margin that it leaves out has its shares of the tokens to the ``power``,
     normed.  Expected tokens are ``fraction`` of all; no probability exceeds 1, and
-    what a full cell can't take goes to the others in proportion.
+    what a full cell can't take goes to the others in proportion.  Raking ends when all
+    margins hold, or after ``SWEEPS * ROUNDS`` sweeps with a warning that names the error
+    left, as where no weights meet the targets (cells that they need are empty).
     """
     spark = annotated.sparkSession
     cells = annotated.groupBy(*(k.alias(n) for n, k in _keys().items())).agg(F.sum("n_tokens").cast("double").alias("base"))
@@ -92,6 +96,8 @@ def calibrate(
         worst = cells.agg(F.max("off")).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"the targets are not met: a margin is off by {worst:.3g} of all tokens", stacklevel=2)
     # cells whose probability would exceed 1 are kept whole; the rest share what is left of the budget
     need, scale, full = F.col("raked") / F.col("base"), fraction, None
     while True:
@@ -114,11 +120,14 @@ def sample(annotated: DataFrame, cells: DataFrame, id_col: str = "doc_id") -> Da
 
     Rows without tokens (null and empty texts) weigh nothing: they have probability 1
     and are kept.  Null sources, languages and topics are values of their own; rows
-    with equal ids are kept or dropped together; an empty table gives no rows.
+    with equal ids are kept or dropped together; columns named ``probability`` and
+    ``kept`` are replaced, all others stay; an empty table gives no rows.
     """
     cells = materialise(cells)
     small = cells.count() <= FEW_CELLS
     keys = _keys()
-    found = annotated.drop("probability", "kept").withColumns(keys).join(F.broadcast(cells) if small else cells, list(keys), "left").drop(*keys)
+    carried = [c for c in annotated.columns if c not in ("probability", "kept")]
+    rows = annotated.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), *(k.alias(n) for n, k in keys.items()), "n_tokens", draw(id_col).alias("draw"))
+    found = rows.join(F.broadcast(cells) if small else cells, list(keys), "left")
     probability = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(1.0)
-    return found.withColumn("probability", probability).withColumn("kept", draw(id_col) < F.col("probability"))
+    return found.select(*(F.col("row").getField(c).alias(c) for c in carried), probability.alias("probability"), (F.col("draw") < probability).alias("kept"))

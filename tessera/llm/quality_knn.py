@@ -120,7 +120,8 @@ class Neighbours:
         """Share of label 1 among the votes of the nearest labelled texts."""
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        near = _unit(_unit(counts * self.idf) @ self.basis) @ self.vectors.T
+        # in double precision and rounded, as sums of another block order may differ in the last digit
+        near = (_unit(_unit(counts * self.idf).astype(np.float64) @ self.basis) @ self.vectors.T.astype(np.float64)).round(9)
         k = min(self.neighbours, near.shape[1])
         top = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :]
         votes = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) ** POWER * self.weights[top]
@@ -133,9 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neigh
     """Learn from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``label`` 0/1).
 
     At most ``per_class`` rows of each label, those with the smallest id hashes, are
-    read; null ids and labels are left out, an id with several labels has the greatest.
+    read; null ids and labels are left out, an id with several labels has the greatest,
+    one with several texts the least.
     """
-    labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
     population = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     chosen = None
     for label in sorted(population):
@@ -152,8 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neigh
                 packed = pa.array([r.tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), packed], ["doc_id", "label", "grams"])
 
-    # at most two times per_class rows
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    # at most two times per_class rows: of the texts of one id the least
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = sample.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     found = sample.mapInArrow(counted, "doc_id long, label int, grams binary").toArrow().sort_by("doc_id")
     flat = b"".join(found.column("grams").to_pylist())
     grams = np.frombuffer(flat, np.float16).reshape(-1, width()).astype(np.float32)
@@ -182,4 +185,4 @@ def score(docs: DataFrame, model: Neighbours) -> DataFrame:
                 out.append(shared.value.score(gram_counts(held)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(np.concatenate(out), 0, 1), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")

@@ -39,12 +39,13 @@ def _lengths(column: pa.Array) -> np.ndarray:
 
 
 def bucket_keys(rows: np.ndarray, tables: int, projections: int, width: float, seed: int) -> np.ndarray:
-    """One 64-bit key for each row and table."""
+    """One 32-bit key for each row and table; cells that share one are one bucket."""
     dice = np.random.default_rng([seed, rows.shape[1]])
     a = dice.standard_normal((rows.shape[1], tables * projections))
     cells = np.floor((_unit(rows) @ a + dice.uniform(0, width, tables * projections)) / width).astype(np.int64)
     odd = dice.integers(0, 1 << 63, (tables, projections), dtype=np.int64) * 2 + 1
-    return (cells.reshape(-1, tables, projections) * odd).sum(axis=2) + dice.integers(0, 1 << 63, tables, dtype=np.int64)
+    keys = (cells.reshape(-1, tables, projections) * odd).sum(axis=2) + dice.integers(0, 1 << 63, tables, dtype=np.int64)
+    return (keys >> 32).astype(np.int32)
 
 
 def near_duplicates(
@@ -83,14 +84,13 @@ def near_duplicates(
                 part = pa.Table.from_batches([batch.filter(pa.array(sizes == size))]).combine_chunks()
                 for sub in part.to_batches():
                     keys = bucket_keys(_matrix(sub.column("embedding"), int(size)), tables, projections, width, seed)
-                    keys += int(size)
                     flat = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * tables, pa.array(keys.ravel()))
                     yield pa.RecordBatch.from_arrays([*sub.columns, flat], [*sub.schema.names, "keys"])
 
     kind = next(t for c, t in vectors.dtypes if c == vector_col)
-    reps = materialise(groups.mapInArrow(keyed, f"c1 long, c2 long, label string, embedding {kind}, rep long, copies long, keys array<long>"))
-    placed = reps.select("label", "rep", "copies", "embedding", "keys", F.posexplode("keys").alias("table", "key"))
-    placed = placed.select(F.xxhash64("table", "key", "label").alias("bucket"), "rep", "copies", "table", "label", "embedding", "keys")
+    reps = materialise(groups.mapInArrow(keyed, f"c1 long, c2 long, label string, embedding {kind}, rep long, copies long, keys array<int>"))
+    placed = reps.select("label", "rep", F.size("embedding").alias("wide"), F.posexplode("keys").alias("table", "key"))
+    placed = placed.select(F.xxhash64("table", "key", "label", "wide").alias("bucket"), "rep", "table")
 
     def compare(table: pa.Table, runs: np.ndarray) -> pa.RecordBatch | None:
         size = np.diff(np.append(runs, table.num_rows))
@@ -139,7 +139,9 @@ def near_duplicates(
         some = (found > 0) | (star != here)
         return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[star[some]]), pa.array(found[some])], ["u", "v", "found"])
 
-    met = map_runs(in_blocks(placed, "bucket", "rep", block), ["bucket", "bi", "bj"], compare, "u long, v long, found long", 50_000)
+    # rows of ids find out who shares a bucket; only those that do get their vectors, in one exchange
+    dealt = in_blocks(placed, "bucket", "rep", block).join(reps.select("rep", "copies", "label", "embedding", "keys"), "rep")
+    met = map_runs(dealt, ["bucket", "bi", "bj"], compare, "u long, v long, found long", 50_000)
     met = materialise(met)
     near = met.groupBy("u").agg(F.sum("found").alias("near"))
     joined = components(met.select("u", "v"))

@@ -109,6 +109,21 @@ def test_vectors_against_all_pairs(spark, block):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_pairs_near_the_threshold_are_found(spark):
+    dice = np.random.default_rng(11)
+    a = dice.standard_normal((1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = dice.standard_normal(a.shape)
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = dice.uniform(0.9801, 0.985, (len(a), 1))
+    b = cos * a + np.sqrt(1 - cos * cos) * off
+    rows = [(2 * i + j, v.tolist(), i % 3) for i, pair in enumerate(zip(a, b, strict=True)) for j, v in enumerate(pair)]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    found = sum(r["n_links"] == 1 and r["component_id"] == r["vec_id"] - 1 for r in got if r["vec_id"] % 2)
+    assert found >= 0.999 * len(a)
+
+
 def slow_lines(rows, least):
     """Text of each (id, text) after deleting later copies of runs of ``least`` words."""
     runs, lines = defaultdict(list), {}

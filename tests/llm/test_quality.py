@@ -157,7 +157,8 @@ def test_languages_are_told_apart(spark):
     docs = frame(spark, rows)
     model = langid.fit(docs.where("doc_id % 4 <> 2"), vocabulary())
     assert model.langs == ["de", "en", "fr"] and np.allclose(model.p.sum(axis=0), 1)
-    got = langid.identify(docs.selectExpr("*", "'z' AS score"), model).collect()
+    got = langid.identify(docs.selectExpr("*", "'z' AS score", "'y' AS _text", "'x' AS row"), model).collect()
+    assert {(r["_text"], r["row"]) for r in got} == {("y", "x")}
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 240 and r["doc_id"] % 4 == 2 and r["doc_id"] % 10 != 9]
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
     for r in got:
@@ -180,11 +181,12 @@ def test_neighbours_learn_quality(spark):
         labels.append((i, int(good)))
     rows += [(900, None, "en", "s", 1), (901, "", "en", "s", 1), (902, "ab", "en", "s", 1), (None, "some text", "en", "s", 1)]
     labels += [(5, None), (None, 1), (7777, 0), (8, 0), (8, 1)]
-    docs = frame(spark, rows)
+    docs = frame(spark, rows).union(frame(spark, [(1, "another text under an id", "en", "s", 1)] * 3)).selectExpr("CAST(doc_id AS INT) AS doc_id", "text")
     lab = spark.createDataFrame(labels, "doc_id long, label int")
     model = quality_knn.fit(docs, lab.where("doc_id % 5 <> 0"))
-    got = {r["doc_id"]: r["score"] for r in quality_knn.score(docs, model).collect()}
-    assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
+    scored = quality_knn.score(docs, model).collect()
+    got = {r["doc_id"]: r["score"] for r in scored}
+    assert len(got) == len(rows) and len(scored) == len(rows) + 3 and all(0 <= s <= 1 for s in got.values())
     assert all((got[i] >= 0.3) == (i % 4 != 0) for i in range(0, 300, 5))
     assert got[900] == got[901] == got[902] == pytest.approx(model.prior)
     none = quality_knn.fit(docs, lab.limit(0))
@@ -265,6 +267,25 @@ def test_mixing_to_given_targets(spark):
     assert mixing.sample(empty, mixing.calibrate(empty)).count() == 0
 
 
+def test_mixing_warns_of_targets_beyond_reach_and_keeps_columns(spark):
+    rows = [(i, "w " * 50, "en" if i % 4 else "de", f"s{i % 4}", 1) for i in range(200)]  # "de" is in s0 alone
+    annotated = mixing.annotate(frame(spark, rows).selectExpr("*", "7 AS k_source", "8 AS row", "9 AS draw"))
+    with pytest.warns(UserWarning, match="off by"):
+        cells = mixing.calibrate(annotated, {"lang": {"en": 1, "de": 3}, "source": {"s0": 1, "s1": 1, "s2": 1, "s3": 1}}, 0.2)
+    got = mixing.sample(annotated, cells).collect()
+    assert {(r["k_source"], r["row"], r["draw"]) for r in got} == {(7, 8, 9)} and len(got) == 200
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_mixing_by_few_and_by_many_cells(spark, few, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
+    annotated = mixing.annotate(frame(spark, make(200))).cache()
+    got = {(r["k_source"], r["k_lang"], r["k_topic"]): r["probability"] for r in mixing.calibrate(annotated).collect()}
+    want = slow_mix([((r["source"], r["lang"], r["topic"]), r["n_tokens"]) for r in annotated.collect()], mixing.FRACTION, mixing.POWER)
+    name = lambda x: "" if x is None else f"={x}"
+    assert {tuple(map(name, k)): pytest.approx(v, abs=2e-4) for k, v in want.items()} == got
+
+
 def slow_scan(text):
     if text is None:
         return None, None, 0
