@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sets import kept_share
 from .windows import average_rank, ordinal
 
 
@@ -20,21 +19,34 @@ def period_correlations(obs: DataFrame, least: int = 10) -> DataFrame:
 
 
 def information_coefficient(obs: DataFrame, least: int = 10) -> DataFrame:
-    """One row: periods, mean, sd, ratio, t statistic and share of positive correlations."""
+    """One row: periods, mean, sd, ratio, t statistic and the share of correlations with the mean's sign."""
     ics = period_correlations(obs, least)
     ratio = F.try_divide(F.avg("ic"), F.stddev_samp("ic"))
+    positive = F.count_if(F.col("ic") > 0)
+    periods = F.count(F.lit(1))
+    hits = F.when(F.avg("ic") >= 0, positive).otherwise(periods - positive)
     return ics.agg(
         F.count(F.lit(1)).alias("periods"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("sd_ic"), ratio.alias("ratio"),
-        (ratio * F.sqrt(F.count(F.lit(1)))).alias("t"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"),
+        (ratio * F.sqrt(F.count(F.lit(1)))).alias("t"), F.try_divide(hits, periods).alias("hit_rate"),
     )
 
 
-def buckets(obs: DataFrame, k: int, tie: str = "id") -> DataFrame:
-    """Add ``bucket``, floor(place / n * k) within the period in order of factor."""
+def bucket_count(k: int) -> int:
+    """Buckets are held to 2..20."""
+    return max(2, min(20, k))
+
+
+def buckets(obs: DataFrame, k: int, tie: str = "id", least: int | None = None) -> DataFrame:
+    """Add ``bucket``, floor(place / n * k) within the period in order of factor.
+
+    Periods with fewer than ``least`` complete rows (2 k unless given) are left out.
+    """
+    least, k = 2 * k if least is None else least, bucket_count(k)
     rows = obs.where("factor IS NOT NULL AND forward IS NOT NULL")
     w = Window.partitionBy("period")
     place = F.row_number().over(w.orderBy("factor", tie)) - 1
-    return rows.withColumn("bucket", F.least(F.lit(k - 1), F.floor(place * F.lit(k) / F.count(F.lit(1)).over(w))).cast("int"))
+    rows = rows.withColumns({"_place": place, "_n": F.count(F.lit(1)).over(w)}).where(F.col("_n") >= least)
+    return rows.withColumn("bucket", F.least(F.lit(k - 1), F.floor(F.col("_place") * F.lit(k) / F.col("_n"))).cast("int")).drop("_place", "_n")
 
 
 def quantile_means(obs: DataFrame, k: int) -> DataFrame:
@@ -43,7 +55,7 @@ def quantile_means(obs: DataFrame, k: int) -> DataFrame:
 
 def spread(obs: DataFrame, k: int) -> DataFrame:
     """One row: mean, sd and t of the periods' top less bottom bucket."""
-    rows = buckets(obs, k)
+    rows, k = buckets(obs, k), bucket_count(k)
     tops = rows.groupBy("period").agg(
         (F.avg(F.when(F.col("bucket") == k - 1, F.col("forward"))) - F.avg(F.when(F.col("bucket") == 0, F.col("forward")))).alias("d")
     )
@@ -52,13 +64,26 @@ def spread(obs: DataFrame, k: int) -> DataFrame:
 
 
 def top_turnover(obs: DataFrame, k: int) -> DataFrame:
-    """``turnover`` of each period's top 1/k against that of the next consecutive period."""
+    """``shared`` and ``turnover`` of each period's top 1/k against that of the period before it.
+
+    The period before is the last one with a factor; where either has fewer than ``k``
+    rows there is no result.
+    """
     rows = obs.where("factor IS NOT NULL")
     w = Window.partitionBy("period")
     place = F.row_number().over(w.orderBy(F.desc("factor"), "id"))
-    n = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / k))
-    top = rows.select("id", "period", place.alias("place"), n.alias("n")).where("place <= n").select("id", "period")
-    return kept_share(top, "id", "period")
+    count = F.count(F.lit(1)).over(w)
+    top = rows.select("id", "period", place.alias("place"), count.alias("n")).where((F.col("n") >= k) & (F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / k))))
+    top = top.select("id", "period").distinct()
+    # one row a period
+    order = rows.select("period").distinct().withColumn("before", F.lag("period").over(Window.orderBy("period")))
+    sizes = top.groupBy("period").agg(F.count(F.lit(1)).alias("size"))
+    met = order.join(F.broadcast(sizes), "period").join(F.broadcast(sizes.select(F.col("period").alias("before"))), "before")
+    current = top.join(F.broadcast(met), "period")
+    earlier = top.select("id", F.col("period").alias("before"), F.lit(1).alias("held"))
+    kept = current.join(earlier, ["id", "before"], "left")
+    found = kept.groupBy("period", "size").agg(F.count("held").alias("shared"))
+    return found.select("period", "shared", (1 - F.col("shared") / F.col("size")).alias("turnover"))
 
 
 def winsorised(df: DataFrame, c: str, share: float) -> DataFrame:

@@ -192,7 +192,7 @@ def welch(df: DataFrame, c: str, label: str) -> DataFrame:
 
 
 def rank_sum(df: DataFrame, c: str, label: str) -> DataFrame:
-    """Mann-Whitney U of label 1, its normal score with tie correction and the rank biserial.
+    """Mann-Whitney U (the lesser of both labels'), label 1's normal score with tie correction and the rank biserial.
 
     Ranks come from counts of distinct values, so ties cost nothing.
     """
@@ -207,7 +207,7 @@ def rank_sum(df: DataFrame, c: str, label: str) -> DataFrame:
     n1, n0 = F.col("n_1").cast("double"), F.col("n_0").cast("double")
     n, u = n1 + n0, F.col("r") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
-    return s.select("n_1", "n_0", u.alias("u"), F.try_divide(u - n1 * n0 / 2, sd).alias("z"), (2 * F.try_divide(u, n1 * n0) - 1).alias("biserial"))
+    return s.select("n_1", "n_0", F.least(u, n1 * n0 - u).alias("u"), F.try_divide(u - n1 * n0 / 2, sd).alias("z"), (2 * F.try_divide(u, n1 * n0) - 1).alias("biserial"))
 
 
 def proportions(df: DataFrame, success: str, label: str) -> DataFrame:

@@ -108,7 +108,7 @@ def welch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "K26_rank_sum",
     f"""WITH k AS (SELECT y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM {LABELLED}), s AS (SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, sum(r) FILTER (y = 1) AS r1 FROM k)
-SELECT n1 AS n_1, n0 AS n_0, round(r1 - n1 * (n1 + 1) / 2, 3) AS u, round(2 * (r1 - n1 * (n1 + 1) / 2) / (CAST(n1 AS DOUBLE) * n0) - 1, 9) AS biserial FROM s""",
+SELECT n1 AS n_1, n0 AS n_0, round(least(r1 - n1 * (n1 + 1) / 2, CAST(n1 AS DOUBLE) * n0 - (r1 - n1 * (n1 + 1) / 2)), 3) AS u, round(2 * (r1 - n1 * (n1 + 1) / 2) / (CAST(n1 AS DOUBLE) * n0) - 1, 9) AS biserial FROM s""",
 )
 def rank_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.rank_sum(_labelled(spark, sf_dir), "v", "y").select("n_1", "n_0", r("u", 3).alias("u"), r("biserial", 9).alias("biserial"))
@@ -156,7 +156,7 @@ def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "Q1_information_coefficient",
     f"""WITH {OBS}, k AS (SELECT period, rank() OVER (PARTITION BY period ORDER BY factor) + (count(*) OVER (PARTITION BY period, factor) - 1) / 2.0 AS a, rank() OVER (PARTITION BY period ORDER BY forward) + (count(*) OVER (PARTITION BY period, forward) - 1) / 2.0 AS b FROM obs WHERE factor IS NOT NULL AND forward IS NOT NULL),
 i AS (SELECT period, corr(a, b) AS ic FROM k GROUP BY 1 HAVING count(*) >= 10)
-SELECT count(*) AS periods, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS sd_ic, round(avg(ic) / stddev_samp(ic), 6) AS ratio, round(avg(CAST(ic > 0 AS INTEGER)), 6) AS hit_rate FROM i""",
+SELECT count(*) AS periods, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS sd_ic, round(avg(ic) / stddev_samp(ic), 6) AS ratio, round(CASE WHEN avg(ic) >= 0 THEN count(*) FILTER (ic > 0) ELSE count(*) FILTER (ic <= 0) END / count(*), 6) AS hit_rate FROM i""",
 )
 def information_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = factors.information_coefficient(_obs(spark, sf_dir))
@@ -165,23 +165,29 @@ def information_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "Q3_quantile_means",
-    f"""WITH {OBS}, k AS (SELECT forward, least(4, CAST(floor((row_number() OVER (PARTITION BY period ORDER BY factor, id) - 1) * 5 / count(*) OVER (PARTITION BY period)) AS INTEGER)) AS bucket FROM obs WHERE factor IS NOT NULL AND forward IS NOT NULL)
+    f"""WITH {OBS}, c AS (SELECT *, count(*) OVER (PARTITION BY period) AS m FROM obs WHERE factor IS NOT NULL AND forward IS NOT NULL), k AS (SELECT forward, least(4, CAST(floor((row_number() OVER (PARTITION BY period ORDER BY factor, id) - 1) * 5 / count(*) OVER (PARTITION BY period)) AS INTEGER)) AS bucket FROM c WHERE m >= 10)
 SELECT bucket, round(avg(forward), 4) AS mean_forward, count(*) AS n FROM k GROUP BY 1""",
 )
 def quantile_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.quantile_means(_obs(spark, sf_dir), 5).withColumn("mean_forward", r("mean_forward", 4))
 
 
-@query("Q3_spread")
+@query(
+    "Q3_spread",
+    f"""WITH {OBS}, c AS (SELECT *, count(*) OVER (PARTITION BY period) AS m FROM obs WHERE factor IS NOT NULL AND forward IS NOT NULL),
+k AS (SELECT period, forward, (row_number() OVER (PARTITION BY period ORDER BY factor, id) - 1) * 5 // m AS bucket FROM c WHERE m >= 10), d AS (SELECT period, avg(forward) FILTER (bucket = 4) - avg(forward) FILTER (bucket = 0) AS d FROM k GROUP BY 1)
+SELECT count(d) AS periods, round(avg(d), 4) AS mean_spread, round(stddev_samp(d), 4) AS sd_spread, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) AS t FROM d""",
+)
 def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factors.spread(_obs(spark, sf_dir), 5)
+    found = factors.spread(_obs(spark, sf_dir), 5)
+    return found.select("periods", r("mean_spread", 4).alias("mean_spread"), r("sd_spread", 4).alias("sd_spread"), r("t").alias("t"))
 
 
 @query(
     "Q4_turnover",
-    f"""WITH {OBS}, k AS (SELECT id, period, row_number() OVER (PARTITION BY period ORDER BY factor DESC, id) AS p, greatest(1, count(*) OVER (PARTITION BY period) // 5) AS m FROM obs WHERE factor IS NOT NULL), h AS (SELECT id, period FROM k WHERE p <= m),
-s AS (SELECT period, count(*) AS size FROM h GROUP BY 1), x AS (SELECT a.period, count(*) AS shared FROM h a JOIN h b ON a.id = b.id AND b.period = a.period + 1 GROUP BY 1)
-SELECT s.period, coalesce(shared, 0) AS shared, round(1 - coalesce(shared, 0) / n.size, 6) AS turnover FROM s JOIN s n ON n.period = s.period + 1 LEFT JOIN x ON x.period = s.period""",
+    f"""WITH {OBS}, k AS (SELECT id, period, row_number() OVER (PARTITION BY period ORDER BY factor DESC, id) AS p, count(*) OVER (PARTITION BY period) AS m FROM obs WHERE factor IS NOT NULL), h AS (SELECT DISTINCT id, period FROM k WHERE m >= 5 AND p <= greatest(1, m // 5)),
+o AS (SELECT period, lag(period) OVER (ORDER BY period) AS before FROM (SELECT DISTINCT period FROM k)), c AS (SELECT h.id, h.period, o.before FROM h JOIN o USING (period) WHERE o.before IN (SELECT period FROM h))
+SELECT c.period, count(b.id) AS shared, round(1 - count(b.id) / count(*), 6) AS turnover FROM c LEFT JOIN h b ON b.id = c.id AND b.period = c.before GROUP BY 1""",
 )
 def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.top_turnover(_obs(spark, sf_dir), 5).select("period", "shared", r("turnover").alias("turnover"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import domain as D
 from tessera.functions import missing as M
-from tessera.operators import frames, joins, models, sets, stats, windows
+from tessera.operators import factors, frames, joins, models, sets, stats, windows
 from tessera.sources.files import kickoff, read_csv, write_csv
 from tessera.sources.snapshots import NotFound, SnapshotLake, gameweek_of, slug
 from tessera.streaming import events as S
@@ -192,3 +192,27 @@ def test_ranks_and_running_sums_by_parts(spark):
     low = {r["id"]: r["m"] for r in least_after(df, "w", "id", "m").collect()}
     assert low == {i: min(j for j, _, x in rows if x >= w) for i, _, w in rows}
     assert running(df.limit(0), "w", {"s": "w"}).count() == 0
+
+
+def test_factor_definitions(spark):
+    """Golden values worked by hand from the definitions."""
+    # ten ids, the factor falls where the result rises: every correlation is negative, so all hit
+    rows = [(i, p, float(i), float(-i * p)) for p in (1, 2, 4) for i in range(10)]
+    obs = spark.createDataFrame(rows, "id long, period int, factor double, forward double")
+    got = factors.information_coefficient(obs).first()
+    assert (got["periods"], got["mean_ic"], got["hit_rate"]) == (3, pytest.approx(-1), 1)
+    # a period of nine rows holds fewer than twice five
+    small = obs.union(spark.createDataFrame([(i, 7, float(i), 1e6) for i in range(9)], obs.schema))
+    means = {r["bucket"]: (r["mean_forward"], r["n"]) for r in factors.quantile_means(small, 5).collect()}
+    assert means == {b: (pytest.approx(-(2 * b + 0.5) * 7 / 3), 6) for b in range(5)}
+    assert factors.quantile_means(small, 1).count() == 2
+    # period 4 is compared with 2, the one before it; 5 has too few rows, so neither it nor 6 counts
+    more = [(i, 5, 1.0, 0.0) for i in range(3)] + [(i, 6, float(-i), 0.0) for i in range(10)] + [(i, 8, float(-i), 0.0) for i in range(1, 11)]
+    turned = {r["period"]: (r["shared"], r["turnover"]) for r in factors.top_turnover(obs.union(spark.createDataFrame(more, obs.schema)), 5).collect()}
+    assert turned == {2: (2, 0), 4: (2, 0), 8: (1, 0.5)}
+
+
+def test_rank_sum_gives_the_lesser_u(spark):
+    rows = [(5.0, 1), (6.0, 1), (7.0, 1), (1.0, 0), (2.0, 0), (6.0, 0)]
+    got = stats.rank_sum(spark.createDataFrame(rows, "v double, y int"), "v", "y").first()
+    assert (got["u"], got["biserial"]) == (1.5, pytest.approx(2 * 7.5 / 9 - 1)) and got["z"] > 0
