@@ -239,7 +239,8 @@ def standard_normal_cdf(x: Column) -> Column:
 
 def classification(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFrame:
     """AUC by ranks, Brier score, log loss, accuracy, precision and recall in one row."""
-    auc = rank_sum(df, score, label).select((F.try_divide(F.col("u"), F.col("n_1").cast("double") * F.col("n_0"))).alias("auc"))
+    # the share of pairs that label 1 wins, which the lesser U would fold to at most a half
+    auc = rank_sum(df, score, label).select(((F.col("biserial") + 1) / 2).alias("auc"))
     p = F.least(F.greatest(F.col(score), F.lit(1e-12)), F.lit(1 - 1e-12))
     hit, y = (F.col(score) >= cut).cast("int"), F.col(label)
     rest = df.where(F.col(score).isNotNull() & y.isNotNull()).agg(

@@ -216,3 +216,9 @@ def test_rank_sum_gives_the_lesser_u(spark):
     rows = [(5.0, 1), (6.0, 1), (7.0, 1), (1.0, 0), (2.0, 0), (6.0, 0)]
     got = stats.rank_sum(spark.createDataFrame(rows, "v double, y int"), "v", "y").first()
     assert (got["u"], got["biserial"]) == (1.5, pytest.approx(2 * 7.5 / 9 - 1)) and got["z"] > 0
+
+
+@pytest.mark.parametrize(("scores", "auc"), [([0.9, 0.8, 0.2, 0.1], 1.0), ([0.1, 0.2, 0.8, 0.9], 0.0), ([0.9, 0.2, 0.5, 0.1], 0.75), ([0.5, 0.5, 0.5, 0.5], 0.5)])
+def test_auc_on_both_sides_of_a_half(spark, scores, auc):
+    rows = spark.createDataFrame(list(zip(scores, [1, 1, 0, 0], strict=True)), "p double, y int")
+    assert stats.classification(rows, "p", "y").first()["auc"] == pytest.approx(auc)
