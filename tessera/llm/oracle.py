@@ -84,4 +84,27 @@ p AS (SELECT s, l, t, least(1.0, need * max(scale) FILTER (scale * need <= 1) OV
 j AS (SELECT doc_id, source, lang, topic, n_tokens, CASE WHEN n_tokens > 0 THEN coalesce(probability, 0) ELSE 1 END AS probability FROM t LEFT JOIN p ON p.s IS NOT DISTINCT FROM t.source AND p.l IS NOT DISTINCT FROM t.lang AND p.t = t.topic)
 SELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept FROM j"""
 
-ORACLE_SQL = {"op3_mixing": MIXING, "op4_line_dedup": LINE_DEDUP, "op5_licenses": LICENSES, "op7_quality_rules": QUALITY_RULES}
+
+_CRC = """list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+ lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)"""
+
+PREFIX_TRIE = f"""WITH t AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS b, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS g FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(g := g, b := b) ORDER BY turn NULLS FIRST, g) AS own FROM t GROUP BY 1),
+c AS (SELECT conv_id, own, xor({_CRC}, 4294967295) % 9 AS h, conv_id - (conv_id % 5 + 5) % 5 AS base FROM o),
+r AS (SELECT c.conv_id, list_concat(coalesce(p.own[:c.h], []), c.own[c.h + 1:]) AS s FROM c LEFT JOIN o p ON p.conv_id = c.base),
+m AS (SELECT conv_id, len(s) AS n, u.d AS depth, sha256(array_to_string(list_transform(s[:u.d], lambda x: x.g), '')) AS k, CASE WHEN u.d > 0 THEN s[u.d].b ELSE 0 END AS b FROM r, unnest(range(len(s) + 1)) AS u(d)),
+v AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(b) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+e AS (SELECT v.*, p.k AS pk FROM v LEFT JOIN m p ON p.conv_id = v.conv_id AND p.depth = v.depth - 1),
+l AS (SELECT e.depth, e.k, e.saved, NOT EXISTS (SELECT 1 FROM e x WHERE x.pk = e.k AND x.depth = e.depth + 1) AS leaf, e.conv_id FROM e),
+s AS (SELECT a.depth, a.k, sum(l.saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM l JOIN m a ON a.conv_id = l.conv_id AND a.depth <= l.depth GROUP BY 1, 2),
+n AS (SELECT depth - 1 AS depth, pk AS k, count(*) AS n_children FROM e WHERE depth > 0 GROUP BY 1, 2)
+SELECT e.conv_id, CAST(e.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, e.n_convs, CAST(coalesce(n.n_children, 0) AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, e.ends_sha256
+ FROM e JOIN s ON s.depth = e.depth AND s.k = e.k LEFT JOIN n ON n.depth = e.depth AND n.k = e.k LEFT JOIN v p ON p.k = e.pk AND p.depth = e.depth - 1"""
+
+ORACLE_SQL = {
+    "op3_mixing": MIXING,
+    "op4_line_dedup": LINE_DEDUP,
+    "op5_licenses": LICENSES,
+    "op7_quality_rules": QUALITY_RULES,
+    "op13_prefix_trie": PREFIX_TRIE,
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, line_dedup, mixing, packing, quality_knn, quality_rules, simhash, token_store, vector_dedup
+from . import langid, licenses, line_dedup, mixing, packing, prefix_trie, quality_knn, quality_rules, simhash, token_store, vector_dedup
 from .common import materialise, new_path
 from .oracle import ORACLE_SQL
 
@@ -96,6 +96,12 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    turns, conversations = prefix_trie.rebuild(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.build(turns, conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_quality_knn": op2_quality_knn,
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_langid": op9_langid,
     "op10_vector_dedup": op10_vector_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "documents", "remainder", "vocabulary"]
