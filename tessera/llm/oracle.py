@@ -101,10 +101,14 @@ n AS (SELECT depth - 1 AS depth, pk AS k, count(*) AS n_children FROM e WHERE de
 SELECT e.conv_id, CAST(e.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, e.n_convs, CAST(coalesce(n.n_children, 0) AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, e.ends_sha256
  FROM e JOIN s ON s.depth = e.depth AND s.k = e.k LEFT JOIN n ON n.depth = e.depth AND n.k = e.k LEFT JOIN v p ON p.k = e.pk AND p.depth = e.depth - 1"""
 
+EXACT_DEDUP = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
+
 ORACLE_SQL = {
     "op3_mixing": MIXING,
     "op4_line_dedup": LINE_DEDUP,
     "op5_licenses": LICENSES,
     "op7_quality_rules": QUALITY_RULES,
+    "op11_exact_dedup": EXACT_DEDUP,
     "op13_prefix_trie": PREFIX_TRIE,
 }

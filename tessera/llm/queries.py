@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, line_dedup, mixing, packing, prefix_trie, quality_knn, quality_rules, simhash, token_store, vector_dedup
+from . import alignment, exact_dedup, langid, licenses, line_dedup, mixing, packing, prefix_trie, quality_knn, quality_rules, simhash, token_store, vector_dedup
 from .common import materialise, new_path
 from .oracle import ORACLE_SQL
 
@@ -96,6 +96,16 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, verdict and digest of every document's text."""
+    return exact_dedup.duplicates(documents(spark, sf_dir))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens under two tokenizers, where they end together and how often over all documents."""
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations."""
     turns, conversations = prefix_trie.rebuild(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -113,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_langid": op9_langid,
     "op10_vector_dedup": op10_vector_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_alignment": op12_alignment,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
