@@ -120,6 +120,22 @@ def autocorrelation(df: DataFrame, c: str, by: list[str], order: list[str], lags
     return out.select(*by, F.explode(each).alias("e")).select(*by, "e.lag", "e.acf", "e.pairs")
 
 
+def partial_autocorrelation(df: DataFrame, c: str, by: list[str], order: list[str], lags: int) -> DataFrame:
+    """``lag``, ``pacf`` and Bartlett's ``band`` of every series, by Durbin and Levinson's recursion.
+
+    A series shorter than three values or constant has no rows; one of n values has lags up to n - 1.
+    """
+    r = autocorrelation(df, c, by, order, lags).where("acf IS NOT NULL AND pairs > 0")
+    each = r.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("_r"), F.max(F.col("pairs") + F.col("lag")).alias("_n")).where("_n >= 3")
+    each = each.withColumn("_r", F.col("_r.acf"))
+    # phi holds the coefficients of the last order, out the last one of every order
+    following = """aggregate(sequence(1, size(_r)), named_struct('phi', array_repeat(0.0D, 0), 'out', array_repeat(0.0D, 0)), (a, k) -> transform(array(
+      coalesce(try_divide(_r[k - 1] - aggregate(transform(a.phi, (p, j) -> p * _r[k - 2 - j]), 0.0D, (s, p) -> s + p), 1 - aggregate(transform(a.phi, (p, j) -> p * _r[j]), 0.0D, (s, p) -> s + p)), 0.0D)),
+      v -> named_struct('phi', concat(transform(a.phi, (p, j) -> p - v * a.phi[k - 2 - j]), array(v)), 'out', concat(a.out, array(v))))[0], a -> a.out)"""
+    found = each.select(*by, (1.96 / F.sqrt("_n")).alias("band"), F.posexplode(F.expr(following)).alias("_i", "pacf"))
+    return found.select(*by, (F.col("_i") + 1).alias("lag"), "pacf", "band")
+
+
 def tied_awards(score: Column, by: list[str], awards: tuple[int, ...] = (3, 2, 1)) -> Column:
     """Awards by rank; a tied group takes the award of its first place and uses up its places."""
     rank = F.rank().over(Window.partitionBy(*by).orderBy(score.desc()))
