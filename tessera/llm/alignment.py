@@ -16,6 +16,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +27,16 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 #: Stripes of B ids; a block has (B ids / STRIPES) x (A ids) counts.
-STRIPES = 128
+STRIPES = 256
 #: Documents and bytes of text that are encoded and packed together, and batches in one part of a stripe.
-BATCH_DOCS, BATCH_BYTES, PART_BATCHES = 4096, 8 << 20, 512
+BATCH_DOCS, BATCH_BYTES, PART_BATCHES = 4096, 2 << 20, 2048
 #: Cells of a block that one row carries.
 ROW_CELLS = 1 << 20
-#: Chunks that a worker remembers, and their longest.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 48
+#: Chunks that a worker remembers, and how many of a text are spelled at once.
+MEMO_ENTRIES, CHUNKS_AT_ONCE = 400_000, 10_000
 
-#: Unicode's white space, and controls that a library might take for it.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CONTROL = "\x1c-\x1f"
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: Unicode's white space and the controls that a library might take for it.
+_SPACE = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _ENCODED = "batch long, pos int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, stripe int, links binary"
 _CELLS = "stripe int, cells binary, counts binary, best binary"
@@ -53,13 +52,48 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _ends(n: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(n)))
+
+
+def _taken(pool: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` at ``starts``, each of its length ``n``, one after another."""
+    ends = np.cumsum(n)
+    return pool[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Pool:
+    """Runs of numbers in one array that grows, named by their number."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.data, self.ends = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def add(self, data: np.ndarray, n: np.ndarray) -> None:
+        self.data, self.ends = np.concatenate([self.data, data]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+
+    def cut(self, runs: int) -> None:
+        """Keep the first ``runs`` runs."""
+        self.ends = self.ends[: runs + 1].copy()
+        self.data = self.data[: self.ends[-1]].copy()
+
+    def take(self, runs: np.ndarray) -> np.ndarray:
+        return _taken(self.data, self.ends[runs], self.ends[runs + 1] - self.ends[runs])
+
+
 class Aligner:
     """Both tokenizers, and a memo of aligned chunks: one for each Python worker.
 
     A text is cut where white space follows another character.  Pre-tokens of A do not
-    cross such a place.  B's pieces do not either where the white space is a space, as
-    none has a space behind another character (checked below), or a character that no
-    longer piece holds; a text with other white space is encoded whole.
+    cross such a place.  B's pieces do not either if the white space is a space, as no
+    piece has a space behind another character (checked below), or a character that no
+    longer piece holds; before other white space a text is not cut.  What a chunk needs
+    is kept in pools: numbers of tokens, links, and its groups as text, each group
+    closed by a semicolon.  B spells a text as it spells its chunks, so a text is
+    spelled in full if all its chunks are.
     """
 
     _made: dict[tuple[str, str], Aligner] = {}
@@ -78,11 +112,19 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
+        # how an id is written in the midst of a group and at the end of its side
+        written = [f"{i}{end}".encode() for side, close in ((self.a_bytes, "|"), (self.b_bytes, ";")) for i in range(len(side)) for end in (",", close)]
+        self.written = _Pool("u1")
+        self.written.add(np.frombuffer(b"".join(written), "u1"), np.array([len(w) for w in written]))
         held = {c for p in pieces if len(p) > 1 for c in p}
-        alone = [c for c in re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001)))) if c != " " and c not in held]
-        inner = any("\u2581" in p.lstrip("\u2581") for p in pieces)
-        self.odd = re.compile("" if inner else f"[{_CONTROL}]|(?![ {''.join(alone)}])[{_SPACE}]")
-        self.memo: dict[str, tuple | None] = {}
+        spaces = re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001))))
+        if any("\u2581" in p.lstrip("\u2581") for p in pieces):
+            raise ValueError("the model has pieces across spaces")
+        whole = "".join(c for c in spaces if c != " " and (c in held or "\x1c" <= c <= "\x1f"))  # not cut before these
+        self.chunk = re.compile(f"[{_SPACE}]*[^{_SPACE}]+(?:[{whole}][{_SPACE}]*[^{_SPACE}]*)*|[{_SPACE}]+")
+        self.memo: dict[str, int] = {}
+        self.tokens, self.links, self.groups = _Pool("i8"), _Pool("u4"), _Pool("u1")
 
     @classmethod
     def of(cls, a: str, b: str) -> Aligner:
@@ -91,59 +133,88 @@ class Aligner:
             cls._made[a, b] = cls(a, b)
         return cls._made[a, b]
 
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """Tokens of A and B, links as (b, a) ids in turn and groups of one text; None if the bytes differ."""
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
+    def _b_ids(self, texts: list[str]) -> list[list[int]]:
+        """B's ids of texts in their place; a space that opens one is the one that B adds."""
+        found, alone = self.b.encode([t.removeprefix(" ") for t in texts], num_threads=1), [self.b.piece_to_id("\u2581")]
+        return [alone if t == " " else ids if t[0] == " " else ids[1:] for t, ids in zip(texts, found, strict=True)]
+
+    def _together(self, chunks: list[str], raw: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]] | None:
+        """Ids of each side and how many each chunk has, from the chunks as one text; None if it can't be cut into them."""
+        if any(c[-1].isspace() for c in chunks):
             return None
-        ends = {}
-        at = 0
-        for k, part in enumerate(a_parts):
-            at += len(part)
-            ends[at] = k
-        links, groups, at, i, j = [], [], 0, 0, 0
-        for k, part in enumerate(b_parts):
-            at += len(part)
-            n = ends.get(at)
-            if n is not None:
-                links += (b[k], a[n])
-                groups.append(f"{','.join(map(str, a[i : n + 1]))}|{','.join(map(str, b[j : k + 1]))}")
-                i, j = n + 1, k + 1
-        return len(a), len(b), np.array(links, "<u4").tobytes(), ";".join(groups)
-
-    def _pieces(self, chunks: list[str]) -> list[list[int]]:
-        """B's ids of chunks in their text; a space that opens a chunk is the one that B adds."""
-        found = self.b.encode([c.removeprefix(" ") for c in chunks], num_threads=1)
-        return [ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, found, strict=True)]
-
-    def _learn(self, chunks: list[str]) -> dict[str, tuple | None]:
-        spelled = self.a.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: self._align(c.encode(), x.ids, b) for c, x, b in zip(chunks, spelled, self._pieces(chunks), strict=True)}
+        text, whole, upto = "".join(chunks), b"".join(raw), np.cumsum([len(r) for r in raw])
+        found = [np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), np.array(self._b_ids([text])[0], np.int64)]
+        per = []
+        for ids, names, size in zip(found, (self.a_bytes, self.b_bytes), self.sizes, strict=True):
+            ends = np.cumsum(size[ids])
+            if b"".join(map(names.__getitem__, ids.tolist())) != whole or not np.isin(upto, ends).all():
+                return None
+            per.append(np.bincount(np.searchsorted(upto, ends), minlength=len(chunks)))
+        return found, per
+
+    def _apart(self, chunks: list[str], raw: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The same chunk by chunk; one whose bytes its tokens do not spell has none."""
+        sides = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)], self._b_ids(chunks)
+        for k, (a, b, r) in enumerate(zip(*sides, raw, strict=True)):
+            if b"".join([self.a_bytes[i] for i in a]) != r or b"".join([self.b_bytes[i] for i in b]) != r:
+                sides[0][k], sides[1][k] = [], []
+        per = [np.array([len(ids) for ids in side], np.int64) for side in sides]
+        return [np.fromiter(chain.from_iterable(side), np.int64, n.sum()) for side, n in zip(sides, per, strict=True)], per
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Append chunks to the pools."""
+        raw = [c.encode() for c in chunks]
+        ids, per = self._together(chunks, raw) or self._apart(chunks, raw)
+        ends = [np.cumsum(size[i]) for size, i in zip(self.sizes, ids, strict=True)]
+        # a token closes a group if one of the other side ends where it ends
+        closes = []
+        for mine, other in (ends, ends[::-1]):
+            at = np.minimum(np.searchsorted(other, mine), max(len(other) - 1, 0))
+            closes.append(other[at] == mine if len(mine) else np.zeros(0, bool))
+        of = [np.repeat(np.arange(len(chunks)), n) for n in per]
+        self.tokens.add(np.column_stack(per).ravel(), np.full(len(chunks), 2))
+        links = np.column_stack([ids[1][closes[1]], ids[0][closes[0]]]).astype("u4")
+        self.links.add(links.ravel(), 2 * np.bincount(of[0][closes[0]], minlength=len(chunks)))
+        group = [np.cumsum(c) - c for c in closes]
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        written = np.concatenate([2 * ids[0] + closes[0], 2 * (len(self.a_bytes) + ids[1]) + closes[1]])[order]
+        n = self.written.ends[written + 1] - self.written.ends[written]
+        self.groups.add(self.written.take(written), np.bincount(np.concatenate(of)[order], weights=n, minlength=len(chunks)).astype(np.int64))
 
     def align(self, texts: list[str | None]) -> tuple[list[tuple[int, int, str]], np.ndarray, np.ndarray]:
-        """Per text the numbers of tokens and its groups; all links (b, a), and how many each text has."""
-        cut = [[] if not t or self.odd.search(t) else _CHUNK.findall(" " + t) for t in texts]
-        distinct = dict.fromkeys(c for chunks in cut for c in chunks)
-        lacking = [c for c in distinct if c not in self.memo]
-        fresh = self._learn(lacking) if lacking else {}
-        for c in distinct:
-            distinct[c] = fresh[c] if c in fresh else self.memo[c]
-        for c, found in fresh.items():
-            if len(self.memo) < MEMO_ENTRIES and len(c) <= MEMO_CHARS:
-                self.memo[c] = found
-        out, links = [], []
-        for text, chunks in zip(texts, cut, strict=True):
-            parts = [distinct[c] for c in chunks]
-            if text and (not parts or None in parts):  # in one piece
-                whole = " " + text
-                parts = [self._align(whole.encode(), self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self._pieces([whole])[0])]
-            if not parts or None in parts:
+        """Per text the numbers of tokens and the digest of its groups; all links (b, a), and how many each text has."""
+        cut = [self.chunk.findall(" " + t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(cut))
+        known = list(map(self.memo.get, flat))
+        lacking = list(dict.fromkeys(c for c, k in zip(flat, known, strict=True) if k is None))
+        for at in range(0, len(lacking), CHUNKS_AT_ONCE):
+            some = lacking[at : at + CHUNKS_AT_ONCE]
+            self.memo.update(zip(some, range(len(self.memo), len(self.memo) + len(some)), strict=True))
+            self._learn(some)
+        runs = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat)) if lacking else np.array(known, np.int64)
+        counts = self.tokens.data.reshape(-1, 2)[runs]
+        bounds = _ends(np.array([len(c) for c in cut], np.int64))
+        out, linked = [], []
+        for i in range(len(texts)):
+            lo, hi = bounds[i], bounds[i + 1]
+            if lo == hi or not counts[lo:hi, 0].all():
                 out.append((0, 0, ""))
-                links.append(b"")
+                linked.append(np.zeros(0, np.int64))
                 continue
-            out.append((sum(p[0] for p in parts), sum(p[1] for p in parts), ";".join([p[3] for p in parts])))
-            links.append(b"".join([p[2] for p in parts]))
-        return out, np.frombuffer(b"".join(links), "<u4").reshape(-1, 2), np.array([len(x) // 8 for x in links], np.int64)
+            digest = hashlib.sha256()
+            for at in range(lo, hi, CHUNKS_AT_ONCE):
+                groups = self.groups.take(runs[at : min(hi, at + CHUNKS_AT_ONCE)])
+                digest.update(groups[:-1] if at + CHUNKS_AT_ONCE >= hi else groups)
+            out.append((*counts[lo:hi].sum(axis=0).tolist(), digest.hexdigest()))
+            linked.append(runs[lo:hi])
+        per = np.array([int((self.links.ends[r + 1] - self.links.ends[r]).sum()) // 2 for r in linked], np.int64)
+        links = self.links.take(np.concatenate(linked)) if linked else np.zeros(0, "u4")
+        if len(self.memo) > MEMO_ENTRIES:
+            for c in lacking[len(lacking) - (len(self.memo) - MEMO_ENTRIES) :]:
+                del self.memo[c]
+            for pool in (self.tokens, self.links, self.groups):
+                pool.cut(len(self.memo))
+        return out, links.reshape(-1, 2), per
 
 
 def _squeezed(array: np.ndarray) -> bytes:
@@ -171,11 +242,10 @@ def _encoded(docs: DataFrame, a: str, b: str, stripes: int) -> DataFrame:
     def batch_of(ids: list[int | None], texts: list[str | None], number: int) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.of(a, b)
         found, links, per = aligner.align(texts)
-        digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for _, _, g in found]
         groups = per.tolist()  # a link closes a group
         yield _rows(_ENCODED, {
             "batch": [number] * len(ids), "pos": list(range(len(ids))), "doc_id": ids, "n_a": [f[0] for f in found], "n_b": [f[1] for f in found],
-            "n_groups": groups, "n_links": groups, "groups_sha256": digests,
+            "n_groups": groups, "n_links": groups, "groups_sha256": [f[2] for f in found],
         })
         width, n_a = -(-len(aligner.b_bytes) // stripes), len(aligner.a_bytes)
         stripe, row = links[:, 0] % stripes, links[:, 0].astype(np.int64) // stripes

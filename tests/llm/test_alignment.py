@@ -105,10 +105,13 @@ def test_chunks_align_as_the_whole(monkeypatch):
     texts = ["".join(dice.choices(PARTS, k=dice.randint(1, 14))) for _ in range(3000)]
     texts += [" ".join(dice.choices(PARTS, k=dice.randint(1, 9))) for _ in range(3000)]
     want = plain(texts)
-    for memo in (0, 1000):
+    for memo, together in ((0, 7), (1000, 50_000)):
         monkeypatch.setattr(alignment, "MEMO_ENTRIES", memo)
-        found, links, per = alignment.Aligner(A, B).align(texts)
-        assert [f if f[0] else None for f in found] == [(w[0], w[1], ";".join(w[2])) if w else None for w in want]
+        monkeypatch.setattr(alignment, "CHUNKS_AT_ONCE", together)
+        aligner = alignment.Aligner(A, B)
+        aligner.align(texts[2000:4000])
+        found, links, per = aligner.align(texts)
+        assert [f if f[0] else None for f in found] == [(w[0], w[1], hashlib.sha256(";".join(w[2]).encode()).hexdigest()) if w else None for w in want]
         assert links.tolist() == [[y, x] for w in want if w for x, y in w[3]] and per.tolist() == [len(w[3]) if w else 0 for w in want]
 
 
