@@ -133,11 +133,17 @@ def consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).select("entity", "period", r(F.when(follows, F.lead("revenue").over(by) - F.col("revenue")), 4).alias("change"))
 
 
-@query("J28_N15_scorelines", "WITH g AS (SELECT unnest(range(16)) AS k) SELECT a.k AS home, b.k AS away, round(exp(-1.4) * pow(1.4, a.k) / factorial(CAST(a.k AS INTEGER)) * exp(-1.1) * pow(1.1, b.k) / factorial(CAST(b.k AS INTEGER)), 9) AS p FROM g a, g b")
+@query(
+    "J28_N15_scorelines",
+    f"""WITH {MATCHES}, m AS (SELECT avg(home_goals) AS h, avg(away_goals) AS a FROM matches), g AS (SELECT unnest(range(16)) AS k)
+SELECT x.k AS home, y.k AS away, round(exp(-h) * pow(h, x.k) / factorial(CAST(x.k AS INTEGER)) * exp(-a) * pow(a, y.k) / factorial(CAST(y.k AS INTEGER)), 9) AS p FROM m, g x, g y""",
+)
 def scorelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    goals = spark.range(16)  # a fixed grid of 16 by 16
-    grid = goals.toDF("home").crossJoin(goals.toDF("away"))
-    return grid.select("home", "away", r(D.poisson(F.col("home"), F.lit(1.4)) * D.poisson(F.col("away"), F.lit(1.1)), 9).alias("p"))
+    """Every scoreline's probability under the mean goals of both sides."""
+    rates = matches(spark, sf_dir).agg(F.avg("home_goals").alias("h"), F.avg("away_goals").alias("a"))
+    upto = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))
+    grid = rates.withColumn("home", upto).withColumn("away", upto)
+    return grid.select("home", "away", r(D.poisson(F.col("home"), F.col("h")) * D.poisson(F.col("away"), F.col("a")), 9).alias("p"))
 
 
 @query(
