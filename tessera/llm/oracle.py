@@ -74,15 +74,17 @@ t AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN n < 200 THEN 'brief' WHEN
  WHEN regexp_matches(text, '[A-Za-z0-9._]@[A-Za-z0-9]') THEN 'contact' WHEN n > 4000 THEN 'long' ELSE 'prose' END AS topic FROM d),
 c0 AS (SELECT source AS s, lang AS l, topic AS t, CAST(sum(n_tokens) AS DOUBLE) AS base FROM t GROUP BY ALL HAVING sum(n_tokens) > 0),
 c1 AS (SELECT s, l, t, base / sum(base) OVER () AS base FROM c0),
-ts AS (SELECT s, sqrt(sum(base)) / sum(sqrt(sum(base))) OVER () AS ts FROM c1 GROUP BY 1), tl AS (SELECT l, sqrt(sum(base)) / sum(sqrt(sum(base))) OVER () AS tl FROM c1 GROUP BY 1), tt AS (SELECT t, sqrt(sum(base)) / sum(sqrt(sum(base))) OVER () AS tt FROM c1 GROUP BY 1),
+ms AS (SELECT s, 1.5 * sum(base) AS u, sqrt(sum(base)) AS w FROM c1 GROUP BY 1), ts AS (SELECT s, least(u, w * max((1 - coalesce(b, 0)) / a) OVER ()) AS ts FROM (SELECT *, sum(u) OVER (ORDER BY u / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, sum(w) OVER (ORDER BY u / w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM ms)),
+ml AS (SELECT l, 1.5 * sum(base) AS u, sqrt(sum(base)) AS w FROM c1 GROUP BY 1), tl AS (SELECT l, least(u, w * max((1 - coalesce(b, 0)) / a) OVER ()) AS tl FROM (SELECT *, sum(u) OVER (ORDER BY u / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, sum(w) OVER (ORDER BY u / w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM ml)),
+mt AS (SELECT t, 1.5 * sum(base) AS u, sqrt(sum(base)) AS w FROM c1 GROUP BY 1), tt AS (SELECT t, least(u, w * max((1 - coalesce(b, 0)) / a) OVER ()) AS tt FROM (SELECT *, sum(u) OVER (ORDER BY u / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, sum(w) OVER (ORDER BY u / w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM mt)),
 c2 AS (SELECT c1.*, ts, tl, tt FROM c1 JOIN ts ON ts.s IS NOT DISTINCT FROM c1.s JOIN tl ON tl.l IS NOT DISTINCT FROM c1.l JOIN tt USING (t)),
-rake AS (SELECT 0 AS it, s, l, t, base, ts, tl, tt, base AS w FROM c2 UNION ALL
- SELECT it + 1, s, l, t, base, ts, tl, tt, w2 * tt / sum(w2) OVER (PARTITION BY t) FROM (SELECT *, w1 * tl / sum(w1) OVER (PARTITION BY l) AS w2 FROM (SELECT *, w * ts / sum(w) OVER (PARTITION BY s) AS w1 FROM rake WHERE it < 60))),
-z AS (SELECT *, w / base AS need FROM rake WHERE it = 60),
-o AS (SELECT *, (0.5 - coalesce(sum(base) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS scale FROM z WINDOW b AS (ORDER BY need DESC, s, l, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-p AS (SELECT s, l, t, least(1.0, need * max(scale) FILTER (scale * need <= 1) OVER ()) AS probability FROM o),
+rake AS (SELECT 0 AS it, s, l, t, base * 2 AS u, ts, tl, tt, base AS w FROM c2 UNION ALL
+ SELECT it + 1, s, l, t, u, ts, tl, tt, w * max((tt - coalesce(b, 0)) / a) OVER (PARTITION BY t) FROM (SELECT *, sum(u) OVER (PARTITION BY t ORDER BY u / w, s, l, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, sum(w) OVER (PARTITION BY t ORDER BY u / w, s, l, t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM (
+ SELECT it, s, l, t, u, ts, tl, tt, w * max((tl - coalesce(b, 0)) / a) OVER (PARTITION BY l) AS w FROM (SELECT *, sum(u) OVER (PARTITION BY l ORDER BY u / w, s, l, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, sum(w) OVER (PARTITION BY l ORDER BY u / w, s, l, t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM (
+ SELECT it, s, l, t, u, ts, tl, tt, w * max((ts - coalesce(b, 0)) / a) OVER (PARTITION BY s) AS w FROM (SELECT *, sum(u) OVER (PARTITION BY s ORDER BY u / w, s, l, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, sum(w) OVER (PARTITION BY s ORDER BY u / w, s, l, t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM rake WHERE it < 400)))))),
+p AS (SELECT s, l, t, least(1, w / u) AS probability FROM rake WHERE it = 400),
 j AS (SELECT doc_id, source, lang, topic, n_tokens, CASE WHEN n_tokens > 0 THEN coalesce(probability, 0) ELSE 1 END AS probability FROM t LEFT JOIN p ON p.s IS NOT DISTINCT FROM t.source AND p.l IS NOT DISTINCT FROM t.lang AND p.t = t.topic)
-SELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept FROM j"""
+SELECT doc_id, source, lang, topic, n_tokens, round(probability, 4) AS probability, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept FROM j"""
 
 
 _CRC = """list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),

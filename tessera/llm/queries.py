@@ -44,7 +44,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.annotate(documents(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "n_tokens")
     rows = materialise(rows)
     drawn = mixing.sample(rows, mixing.calibrate(rows))
-    return drawn.withColumn("probability", F.round("probability", 6))
+    return drawn.withColumn("probability", F.round("probability", 4))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
