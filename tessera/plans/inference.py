@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import concordance, regression, resampling, windows
+from tessera.operators import concordance, explain, regression, resampling, windows
 from tessera.plans.tables import PANEL, panel, query, r, table
 
 
@@ -119,3 +119,35 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
     return resampling.permutation_test(orders, "o_totalprice", "y", ["o_orderkey"], resamples=200)
+
+
+def _line_of_two(spark: SparkSession, sf_dir: str):
+    """The panel, and a model of its revenue by quantity and lines."""
+    rows = panel(spark, sf_dir)
+    fit = regression.ols(rows, ["qty", "n"], "revenue")
+    return rows, lambda df: df.withColumn("prediction", fit.fitted())
+
+
+@query(
+    "L12_partial_dependence",
+    f"""WITH {PANEL}, m AS (SELECT var_pop(qty) AS c11, var_pop(n) AS c22, covar_pop(qty, n) AS c12, covar_pop(qty, revenue) AS c1, covar_pop(n, revenue) AS c2, avg(qty) AS mq, avg(n) AS mn, avg(revenue) AS my, min(qty) AS lo, max(qty) AS hi, stddev_samp(n) AS sn FROM panel),
+f AS (SELECT *, (c22 * c1 - c12 * c2) / (c11 * c22 - c12 * c12) AS b1, (c11 * c2 - c12 * c1) / (c11 * c22 - c12 * c12) AS b2 FROM m)
+SELECT round(lo + (hi - lo) * k / 19.0, 6) AS value, round(my + b1 * (lo + (hi - lo) * k / 19.0 - mq), 3) AS prediction, round(abs(b2) * sn, 3) AS sd FROM f, unnest(range(20)) AS u(k)""",
+)
+def partial_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = _line_of_two(spark, sf_dir)
+    found = explain.partial_dependence(model, rows, "qty", ["qty", "n"], ["entity", "period"], sample=None)
+    return found.select(r("value").alias("value"), r("prediction", 3).alias("prediction"), r("sd", 3).alias("sd"))
+
+
+@query("L12_permutation_importance")
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = _line_of_two(spark, sf_dir)
+    return explain.permutation_importance(model, rows, ["qty", "n"], "revenue", ["entity", "period"], repeats=3)
+
+
+@query("L12_shapley")
+def shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions of every month of every twentieth supplier."""
+    rows, model = _line_of_two(spark, sf_dir)
+    return explain.shapley(model, rows.where("entity % 20 = 0"), rows, ["qty", "n"], ["entity", "period"], samples=20)
