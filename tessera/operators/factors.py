@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import previous
 from .windows import average_rank, ordinal
 
 
@@ -75,11 +76,10 @@ def top_turnover(obs: DataFrame, k: int) -> DataFrame:
     count = F.count(F.lit(1)).over(w)
     top = rows.select("id", "period", place.alias("place"), count.alias("n")).where((F.col("n") >= k) & (F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / k))))
     top = top.select("id", "period").distinct()
-    # one row a period
-    order = rows.select("period").distinct().withColumn("before", F.lag("period").over(Window.orderBy("period")))
+    order = previous(rows.select("period").distinct(), "period", "before")
     sizes = top.groupBy("period").agg(F.count(F.lit(1)).alias("size"))
-    met = order.join(F.broadcast(sizes), "period").join(F.broadcast(sizes.select(F.col("period").alias("before"))), "before")
-    current = top.join(F.broadcast(met), "period")
+    met = order.join(sizes, "period").join(sizes.select(F.col("period").alias("before")), "before")
+    current = top.join(met, "period")
     earlier = top.select("id", F.col("period").alias("before"), F.lit(1).alias("held"))
     kept = current.join(earlier, ["id", "before"], "left")
     found = kept.groupBy("period", "size").agg(F.count("held").alias("shared"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import greatest_upto, previous, running
+
 
 def replay(panel: DataFrame, entity: str, period: str, score: str, actual: str, size: int, transfer_cost: float, free: int = 1) -> DataFrame:
     """A rule that holds the ``size`` best by ``score`` in each period, one row a period.
@@ -21,17 +23,15 @@ def replay(panel: DataFrame, entity: str, period: str, score: str, actual: str,
     held = panel.where(F.col(score).isNotNull()).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= size)
     points = F.coalesce(F.col(actual).cast("double"), F.lit(0.0))
     sums = held.groupBy(period).agg(F.sum(points).alias("points"), F.max(F.when(F.col("_place") == 1, points)).alias("captain"), F.count(F.lit(1)).alias("held"))
-    # periods are few beside entities: their order is one window
-    sums = sums.withColumn("_before", F.lag(period).over(Window.orderBy(period)))
+    sums = previous(sums, period, "_before")
     stayed = held.select(entity, period).join(sums.select(period, "_before"), period)
     stayed = stayed.join(held.select(entity, F.col(period).alias("_before")), [entity, "_before"]).groupBy(period).agg(F.count(F.lit(1)).alias("stayed"))
     led = sums.join(stayed, period, "left").fillna(0, ["stayed"])
     changes = F.when(F.col("_before").isNull(), 0).otherwise(F.col("held") - F.col("stayed"))
     led = led.withColumn("changes", changes).withColumn("cost", F.greatest(F.col("changes") - free, F.lit(0)) * transfer_cost)
     led = led.withColumn("net", F.col("points") + F.col("captain") - F.col("cost"))
-    sofar = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
-    led = led.withColumn("total", F.sum("net").over(sofar))
-    led = led.withColumn("drawdown", F.col("total") - F.max("total").over(sofar))
+    led = running(led, period, {"_sofar": "net"}).withColumn("total", F.col("_sofar") + F.col("net"))
+    led = greatest_upto(led, period, "total", "_top").withColumn("drawdown", F.col("total") - F.col("_top"))
     return led.select(period, "points", "captain", "changes", "cost", "net", "total", "drawdown")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
@@ -24,21 +22,24 @@ def lagged(df: DataFrame, by: list[str], order: list[str], c: str, lags: tuple[i
 
 def prepared(features: list[str]) -> list:
     """Median imputation with an indicator for missing, and assembly, fitted on training rows alone."""
-    filled = [f"_{c}" for c in features]
-    return [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled + [f"_no_{c}" for c in features], outputCol="_x")]
+    filled = [f"_filled_{c}" for c in features]
+    return [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled + [f"_no_{c}" for c in features], outputCol="_features")]
 
 
 def walk_forward(df: DataFrame, features: list[str], target: str, period: str, folds: int, embargo: int = 1, rounds: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """Errors of boosted trees in each of the last ``folds`` periods, fitted on those before less the embargo."""
-    rows = df.where(F.col(target).isNotNull()).withColumns({f"_no_{c}": F.col(c).isNull().cast("double") for c in features})
+    rows = df.where(F.col(target).isNotNull()).select(*features, F.col(target).cast("double").alias(target), period, *(F.col(c).isNull().cast("double").alias(f"_no_{c}") for c in features))
+    rows = rows.persist()  # every fold reads it
     last = [r[0] for r in rows.select(period).distinct().orderBy(F.desc(period)).limit(folds).collect()]
-    out = []
+    out, found = [], df
     for at in sorted(last):
         train = rows.where(F.col(period) < at - embargo)
-        tree = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=0.1, maxBins=64, subsamplingRate=0.5, seed=seed)
+        tree = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=0.1, maxBins=64, subsamplingRate=0.5, seed=seed)
         model = Pipeline(stages=[*prepared(features), tree]).fit(train)
-        out.append(errors(model.transform(rows.where(F.col(period) == at)), "prediction", target).withColumn(period, F.lit(at)))
-    return reduce(DataFrame.unionByName, out)
+        found = errors(model.transform(rows.where(F.col(period) == at)), "prediction", target).withColumn(period, F.lit(at))
+        out += found.collect()  # one row a fold
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(out, found.schema) if out else df.sparkSession.createDataFrame([], f"{period} long")
 
 
 def clusters(df: DataFrame, vector: str, k: int, seed: int = 7) -> DataFrame:

@@ -44,3 +44,21 @@ def least_after(df: DataFrame, c: str, value: str, name: str) -> DataFrame:
     later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("_part").agg(F.min(value).alias("_m")).select("_part", F.min("_m").over(later).alias("_later"))
     return rows.withColumn("_own", F.min(value).over(inside)).join(F.broadcast(base), "_part").withColumn(name, F.least("_own", "_later")).drop("_part", "_own", "_later")
+
+
+def greatest_upto(df: DataFrame, c: str, value: str, name: str) -> DataFrame:
+    """Add the greatest ``value`` of this row and all with a lesser or equal ``c``; null if none is present."""
+    rows = df.withColumn("_part", part_of(df, c))
+    inside = Window.partitionBy("_part").orderBy(c).rangeBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
+    base = rows.groupBy("_part").agg(F.max(value).alias("_m")).select("_part", F.max("_m").over(earlier).alias("_earlier"))
+    return rows.withColumn("_own", F.max(value).over(inside)).join(F.broadcast(base), "_part").withColumn(name, F.greatest("_own", "_earlier")).drop("_part", "_own", "_earlier")
+
+
+def previous(df: DataFrame, c: str, name: str) -> DataFrame:
+    """Add the next lesser ``c`` to each row of a table of distinct values of it."""
+    rows = df.withColumn("_part", part_of(df, c))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
+    base = rows.groupBy("_part").agg(F.max(c).alias("_m")).select("_part", F.max("_m").over(earlier).alias("_earlier"))
+    own = F.lag(c).over(Window.partitionBy("_part").orderBy(c))
+    return rows.withColumn("_own", own).join(F.broadcast(base), "_part").withColumn(name, F.coalesce("_own", "_earlier")).drop("_part", "_own", "_earlier")

@@ -164,8 +164,9 @@ e AS (SELECT n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / su
 def contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chi-square of two labels: sum n^2 / e less the total, over the cells that occur."""
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    by, total = (lambda *k: F.sum("n").over(Window.partitionBy(*k))), F.sum("n").over(Window.partitionBy(F.lit(0)))
-    cells = c.select("a", "b", "n", (by("a") * by("b") / total).alias("e"))
+    total = c.agg(F.sum("n").alias("all"))  # one row
+    by = lambda k: F.sum("n").over(Window.partitionBy(k))
+    cells = c.crossJoin(F.broadcast(total)).select("a", "b", "n", (by("a") * by("b") / F.col("all")).alias("e"))
     chi2 = F.sum(F.col("n") * F.col("n") / F.col("e")) - F.sum("n")
     return cells.agg(r(chi2).alias("chi2"), ((F.count_distinct("a") - 1) * (F.count_distinct("b") - 1)).alias("df"))
 
@@ -223,6 +224,7 @@ def decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def differentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = panel(spark, sf_dir).groupBy("entity").agg(r(F.sum("revenue"), 4).alias("projected"), F.sum("n").alias("n"))
-    own = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))) * 100
-    ranked = t.select("entity", (F.col("projected") / F.greatest(own, F.lit(0.1))).alias("edge")).orderBy(F.desc("edge"), "entity").limit(20)
+    total = t.agg(F.sum("n").alias("all"))  # one row
+    own = F.col("n") / F.col("all") * 100
+    ranked = t.crossJoin(F.broadcast(total)).select("entity", (F.col("projected") / F.greatest(own, F.lit(0.1))).alias("edge")).orderBy(F.desc("edge"), "entity").limit(20)
     return ranked.select("entity", r("edge", 4).alias("edge"))

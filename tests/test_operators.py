@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import domain as D
 from tessera.functions import missing as M
-from tessera.operators import factors, frames, joins, models, sets, stats, windows
+from tessera.operators import factors, frames, joins, ledger, models, ordering, sets, stats, windows
 from tessera.sources.files import kickoff, read_csv, write_csv
 from tessera.sources.snapshots import NotFound, SnapshotLake, gameweek_of, slug
 from tessera.streaming import events as S
@@ -222,3 +223,97 @@ def test_rank_sum_gives_the_lesser_u(spark):
 def test_auc_on_both_sides_of_a_half(spark, scores, auc):
     rows = spark.createDataFrame(list(zip(scores, [1, 1, 0, 0], strict=True)), "p double, y int")
     assert stats.classification(rows, "p", "y").first()["auc"] == pytest.approx(auc)
+
+
+def test_covering_equals_all_pairs(spark):
+    dice = random.Random(6)
+    points = [(i, dice.choice("tu"), dice.uniform(0, 1000)) for i in range(200)]
+    spells = []
+    for i in range(80):
+        start = dice.uniform(-50, 900)
+        spells.append((dice.choice("tu"), start, None if i % 10 == 0 else start + dice.choice([1, 20, 300, 5000]), f"s{i:02}"))
+    got = joins.covering(spark.createDataFrame(points, "id int, k string, at double"), spark.createDataFrame(spells, "k string, f double, t double, who string"), ["k"], "at", "f", "t", ["who"], ["id"], 7.0)
+    last, want = max(p[2] for p in points), {}
+    for i, k, at in points:
+        met = [((t if t is not None else last + 1) - f, who) for key, f, t, who in spells if key == k and f <= at < (t if t is not None else last + 1)]
+        want[i] = min(met)[1] if met else None
+    assert {r["id"]: r["who"] for r in got.collect()} == want
+
+
+def test_places_near_the_poles_and_the_date_line(spark):
+    dice = random.Random(7)
+    spots = [(89.5, 10.0), (89.6, -170.0), (-89.9, 0.0), (-89.9, 180.0), (0.0, 179.9), (0.0, -179.9), (60.0, 179.99), (60.0, -179.99), (None, 3.0)]
+    spots += [(dice.uniform(-90, 90), dice.uniform(-180, 180)) for _ in range(150)]
+    rows = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "a int, lat double, lon double")
+    other = rows.withColumnRenamed("a", "b")
+    got = {(r["a"], r["b"]) for r in joins.near_places(rows, other, "lat", "lon", 400_000.0, D.distance_metres).collect()}
+    pairs = rows.crossJoin(other.withColumnsRenamed({"lat": "y", "lon": "x"})).where(D.distance_metres(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")) <= 400_000.0)
+    assert got == {(r["a"], r["b"]) for r in pairs.collect()} and (4, 5) in got and (0, 1) in got
+
+
+def test_change_points_against_all_cuts(spark):
+    dice = random.Random(8)
+    series = {k: [dice.gauss(m, 1) for m in (0, 6, 2) for _ in range(n)] for k, n in (("a", 12), ("b", 5), ("c", 2))}
+    df = spark.createDataFrame([(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)], "k string, i long, v double")
+    got = {(r["k"], r["place"]) for r in ledger.change_points(df, "k", "i", "v", most=2).collect()}
+
+    def sse(v):
+        return sum((x - sum(v) / len(v)) ** 2 for x in v)
+
+    want = set()
+    for k, v in series.items():
+        parts = [(0, len(v))]
+        for _ in range(2):
+            found = max(((sse(v[a:b]) - sse(v[a:c]) - sse(v[c:b]), c, a, b) for a, b in parts for c in range(a + 4, b - 3)), default=None)
+            if found and found[0] > 1e-12:
+                want.add((k, found[1]))
+                parts.remove(found[2:])
+                parts += [(found[2], found[1]), (found[1], found[3])]
+    assert got == want and len(want) > 3
+
+
+def test_density_against_plain_sums(spark):
+    dice = np.random.default_rng(9)
+    v = dice.normal(10, 3, 300)
+    got = sorted(map(tuple, stats.density(spark.createDataFrame([(float(x),) for x in v], "v double"), "v").collect()))
+    q3, q1 = np.quantile(v, [0.75, 0.25])
+    h = 0.9 * min(v.std(ddof=1), (q3 - q1) / 1.34) * len(v) ** -0.2
+    for x, d in got:
+        assert d == pytest.approx(np.exp(-0.5 * ((v - x) / h) ** 2).sum() / (len(v) * h * np.sqrt(2 * np.pi)), rel=1e-9)
+    assert got[0][0] == pytest.approx(v.min() - 3 * h) and got[-1][0] == pytest.approx(v.max() + 3 * h)
+
+
+def test_components_and_clusters(spark):
+    dice = np.random.default_rng(10)
+    m = dice.normal(0, 1, (300, 3))
+    m[:, 2] += 2 * m[:, 0]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in m], "a double, b double, c double")
+    got = models.components(df, ["a", "b", "c"], 3).orderBy("component").collect()
+    values, vectors = np.linalg.eigh(np.corrcoef(m.T))
+    for i, r in enumerate(got):
+        assert r["share"] == pytest.approx(values[-1 - i] / 3) and np.allclose(np.abs(r["loadings"]), np.abs(vectors[:, -1 - i]), atol=1e-6)
+    spots = np.concatenate([dice.normal(c, 0.1, (40, 2)) for c in ((0, 0), (5, 5), (0, 9))])
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(spots)] + [(999, None)], "i int, v array<double>")
+    found = {r["i"]: r["cluster"] for r in models.clusters(rows, "v", 3).collect()}
+    assert len(found) == 120 and all(len({found[i] for i in range(a, a + 40)}) == 1 for a in (0, 40, 80)) and len(set(found.values())) == 3
+
+
+def test_walk_forward_reads_the_past_alone(spark):
+    rows = [(float(i % 7), float(3 * (i % 7)), 1 + i // 50) for i in range(200)]
+    got = models.walk_forward(spark.createDataFrame(rows, "x double, y double, p int"), ["x"], "y", "p", folds=2, embargo=0).orderBy("p").collect()
+    assert [r["p"] for r in got] == [3, 4] and all(r["n"] == 50 and r["r2"] > 0.9 for r in got)
+    # the last period is unlike the others, so a model that has not seen it is wrong there
+    rows = [(x, 100 - y if p == 4 else y, p) for x, y, p in rows]
+    got = models.walk_forward(spark.createDataFrame(rows, "x double, y double, p int"), ["x"], "y", "p", folds=1, embargo=0).collect()
+    assert got[0]["r2"] < 0
+
+
+def test_previous_and_greatest_by_parts(spark):
+    dice = random.Random(11)
+    rows = [(i * 3, dice.uniform(0, 9)) for i in dice.sample(range(400), 300)]
+    df = spark.createDataFrame(rows, "t long, v double").repartition(4)
+    rows.sort()
+    before = {r["t"]: r["b"] for r in ordering.previous(df, "t", "b").collect()}
+    assert before == {t: (rows[i - 1][0] if i else None) for i, (t, _) in enumerate(rows)}
+    top = {r["t"]: r["m"] for r in ordering.greatest_upto(df, "t", "v", "m").collect()}
+    assert top == {t: max(v for _, v in rows[: i + 1]) for i, (t, _) in enumerate(rows)}
