@@ -69,6 +69,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
+def unlike(names: list[str]) -> str:
+    """A name that is none of ``names``."""
+    return "_" * (1 + max(map(len, names), default=0))
+
+
 def in_blocks(df: DataFrame, bucket: str, row_id: str, block: int) -> DataFrame:
     """Deal the rows of every bucket into pairs of bounded blocks.
 

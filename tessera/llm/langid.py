@@ -15,12 +15,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents of each language (about) and its most frequent words that are fitted.
-TRAIN_DOCS, TRAIN_WORDS, ROUNDS = 400, 20_000, 4
+from .common import discard, partitions, stored, unlike
+
+#: Documents of each language (about) that are fitted, in so many rounds, and the letters
+#: beyond which a run of letters is fitted in parts.
+TRAIN_DOCS, ROUNDS, FIT_LETTERS = 400, 4, 64
 #: Probability of a character that no piece covers, weight of unseen pieces, and the
 #: words that a worker remembers.
 UNKNOWN, SMOOTH, MEMO_ENTRIES = 1e-8, 0.05, 250_000
@@ -119,24 +122,25 @@ class Unigrams:
                 scale[since : t + 1] += np.log(by)
         return alpha, scale, lattice
 
-    def fit(self, counts: list[Counter], rounds: int = ROUNDS) -> None:
-        """Expectation maximisation; ``counts`` has the word counts of each language."""
+    def expected(self, lang: int, counted: dict[str, int]) -> np.ndarray:
+        """How often each piece is expected in counted words of a language, over all their segmentations."""
+        one = Unigrams.__new__(Unigrams)
+        one.pieces, one.langs, one.p = self.pieces, [""], self.p[:, lang : lang + 1]
+        words, out = list(counted), np.zeros(len(self.p))
+        for some, wide in _by_width(words):
+            group = [words[i] for i in some]
+            out += one._expected(group, np.array([counted[w] for w in group], float), wide)
+        return out
+
+    def maximise(self, expected: np.ndarray) -> None:
+        """Take over the probabilities that expected counts (pieces x languages) give, smoothed."""
         n = len(self.pieces.pieces)
-        for _ in range(rounds):
-            expected = np.zeros((n + 1, len(self.langs)))
-            for lang, counted in enumerate(counts):
-                one = Unigrams.__new__(Unigrams)
-                one.pieces, one.langs, one.p = self.pieces, [""], self.p[:, lang : lang + 1]
-                words = list(counted)
-                for some, wide in _by_width(words):
-                    group = [words[i] for i in some]
-                    expected[:, lang] += one._expected(group, np.array([counted[w] for w in group], float), wide)
-            expected[n] = 0
-            total = expected.sum(axis=0, keepdims=True)
-            shared = expected.sum(axis=1, keepdims=True) / max(total.sum(), 1e-300)
-            smooth = (1 - SMOOTH) * expected / np.maximum(total, 1e-300) + SMOOTH * (0.5 * shared + 0.5 / max(n, 1)) * 1e-2
-            smooth[n] = 0
-            self.p = smooth / np.maximum(smooth.sum(axis=0, keepdims=True), 1e-300)
+        expected[n] = 0
+        total = expected.sum(axis=0, keepdims=True)
+        shared = expected.sum(axis=1, keepdims=True) / max(total.sum(), 1e-300)
+        smooth = (1 - SMOOTH) * expected / np.maximum(total, 1e-300) + SMOOTH * (0.5 * shared + 0.5 / max(n, 1)) * 1e-2
+        smooth[n] = 0
+        self.p = smooth / np.maximum(smooth.sum(axis=0, keepdims=True), 1e-300)
 
     def _expected(self, words: list[str], weight: np.ndarray, wide: int) -> np.ndarray:
         alpha, scale, lattice = self._alpha(words, wide)
@@ -208,12 +212,19 @@ class Scorer:
         return labels, scores
 
 
-def fit(rows: DataFrame, pieces: Iterable[str], train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> Unigrams:
+def _parts(word: str) -> list[str]:
+    return [word[i : i + FIT_LETTERS] for i in range(0, len(word), FIT_LETTERS)]
+
+
+def fit(rows: DataFrame, pieces: Iterable[str], train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Unigrams:
     """A model from ``doc_id``, ``text`` and ``lang``; null texts and languages are left out.
 
-    About ``train_docs`` documents of each language, those with the smallest id
-    hashes, and the ``train_words`` most frequent words of each bound what is fitted.
+    All words of about ``train_docs`` documents of each language, those with the smallest
+    id hashes, are fitted; a run of more than ``FIT_LETTERS`` letters in parts of so many.  Each
+    round sums expected counts over the distinct words in tasks; the driver holds the
+    probabilities alone, a number for each piece and language.
     """
+    spark = rows.sparkSession
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
@@ -225,7 +236,7 @@ def fit(rows: DataFrame, pieces: Iterable[str], train_docs: int = TRAIN_DOCS, tr
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Counter(chain.from_iterable(((lang, w) for w in split_words(t)) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+            found = Counter((lang, part) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in split_words(t) for part in _parts(w))
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
@@ -234,11 +245,29 @@ def fit(rows: DataFrame, pieces: Iterable[str], train_docs: int = TRAIN_DOCS, tr
 
     words = chosen.select("lang", "text").mapInArrow(counted, "lang string, word string, n long")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    counts = {lang: Counter() for lang in langs}
-    for r in words.withColumn("r", first).where(F.col("r") <= train_words).collect():
-        counts[r["lang"]][r["word"]] = r["n"]
-    model.fit([counts[k] for k in langs])
+    words = stored(words, "words")
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, sums = shared.value, {}
+            for batch in batches:
+                counts: dict[str, dict[str, int]] = {}
+                for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    counts.setdefault(lang, {})[word] = n
+                for lang, some in counts.items():
+                    sums[lang] = sums.get(lang, 0) + now.expected(now.langs.index(lang), some)
+            for lang, got in sums.items():
+                used = np.flatnonzero(got)
+                yield pa.RecordBatch.from_arrays([pa.array([now.langs.index(lang)] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(got[used])], ["lang", "piece", "n"])
+
+        dealt = words.repartition(partitions(spark), "word")
+        found = dealt.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        sums = np.zeros_like(model.p)
+        sums[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
+        model.maximise(sums)
+        shared.unpersist()
+    discard(words)
     return model
 
 
@@ -273,7 +302,7 @@ def identify(docs: DataFrame, model: Unigrams, text_col: str = "text") -> DataFr
             columns = [batch.column(0), pa.array(labels, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
 
-    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others))
+    row = F.struct(F.lit(0).alias(unlike(others)), *(F.col(f"`{c}`") for c in others))
     read = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kinds = T.StructType([read.schema["row"]]).add("lang_pred", "string").add("score", "double")
     return read.mapInArrow(scored, kinds).select(*(F.col("row").getField(c).alias(c) for c in others), "lang_pred", "score")

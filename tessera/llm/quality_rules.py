@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, words
+from .common import SPACE, materialise, unlike, words
 
 #: Relative accuracy of a sketch, and documents that the wider sketch counts for.
 ACCURACY, PRIOR = 0.002, 100
@@ -157,7 +157,7 @@ def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     groups = {"g_lang": lang_col, "g_source": source_col}
     carried = [c for c in docs.columns if c not in (text_col, *COUNTS, "base_failed", "kept")]
     keyed = docs.select(
-        F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in carried)).alias("row"), F.col(f"`{text_col}`").alias("text"),
+        F.struct(F.lit(0).alias(unlike(carried)), *(F.col(f"`{c}`") for c in carried)).alias("row"), F.col(f"`{text_col}`").alias("text"),
         *(F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")).alias(g) for g, c in groups.items()),
     )
     counted = materialise(text_counts(keyed, 8).drop("text"))

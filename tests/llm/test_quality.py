@@ -24,7 +24,7 @@ def slow_counts(text, n=8):
 
 def test_rules_against_brute_force(spark):
     rows = make(200)
-    got = quality_rules.judge(frame(spark, rows).selectExpr("*", "1 AS kept", "'x' AS h", "2 AS n_words")).collect()
+    got = quality_rules.judge(frame(spark, rows).selectExpr("*", "1 AS kept", "'x' AS h", "2 AS n_words", "3 AS _")).collect()
     counted = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got)
     assert counted == Counter((r[0], *slow_counts(r[1])) for r in rows)
     for r in got:
@@ -146,7 +146,7 @@ def test_long_words_are_fitted():
         got = one._expected(group, np.full(len(group), 3.0), max(map(len, group)))
         assert got[:-1] == pytest.approx(want[:-1], rel=1e-6, abs=1e-12)
     before = one.p.copy()
-    one.fit([Counter({"▁" + "ab" * 9: 5})], rounds=1)
+    one.maximise(one.expected(0, {"▁" + "ab" * 9: 5})[:, None])
     i = one.pieces.pieces.index("ab")
     assert one.p[i, 0] / one.p[one.pieces.pieces.index("abba"), 0] > 100 * before[i, 0] / before[one.pieces.pieces.index("abba"), 0]
 
@@ -158,7 +158,15 @@ def test_languages_are_told_apart(spark):
     docs = frame(spark, rows)
     model = langid.fit(docs.where("doc_id % 4 <> 2"), vocabulary())
     assert model.langs == ["de", "en", "fr"] and np.allclose(model.p.sum(axis=0), 1)
-    got = langid.identify(docs.selectExpr("*", "'z' AS score", "'y' AS _text", "'x' AS row"), model).collect()
+    # the same rounds in one place
+    plain, counts = langid.Unigrams(langid.Pieces(vocabulary()), model.langs), {k: Counter() for k in model.langs}
+    for i, text, lang, *_ in rows:
+        if text and lang and (i or 0) % 4 != 2 and i is not None:
+            counts[lang].update(p for w in langid.split_words(text) for p in langid._parts(w))
+    for _ in range(langid.ROUNDS):
+        plain.maximise(np.column_stack([plain.expected(k, counts[lang]) for k, lang in enumerate(model.langs)]))
+    assert np.allclose(plain.p, model.p, rtol=1e-6, atol=1e-15)
+    got = langid.identify(docs.selectExpr("*", "'z' AS score", "'y' AS _text", "'x' AS row", "3 AS _"), model).collect()
     assert {(r["_text"], r["row"]) for r in got} == {("y", "x")}
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 240 and r["doc_id"] % 4 == 2 and r["doc_id"] % 10 != 9]
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
@@ -166,6 +174,9 @@ def test_languages_are_told_apart(spark):
         letters = any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1
     assert langid.identify(docs.limit(0), model).count() == 0
+    # a run of a million letters in what is fitted
+    long = frame(spark, [(1, "x" * 1_000_000, "en", None, 0), (2, "some words here", "en", None, 0), (3, "einige wörter hier", "de", None, 0)])
+    assert np.allclose(langid.fit(long, vocabulary()).p.sum(axis=0), 1)
     nothing = langid.fit(docs.limit(0), vocabulary())
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
 
