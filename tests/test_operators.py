@@ -317,3 +317,27 @@ def test_previous_and_greatest_by_parts(spark):
     assert before == {t: (rows[i - 1][0] if i else None) for i, (t, _) in enumerate(rows)}
     top = {r["t"]: r["m"] for r in ordering.greatest_upto(df, "t", "v", "m").collect()}
     assert top == {t: max(v for _, v in rows[: i + 1]) for i, (t, _) in enumerate(rows)}
+
+
+def test_quantiles_by_ranges(spark):
+    dice = random.Random(12)
+    rows = [(k, None if i % 11 == 0 else float(dice.randint(0, 9)) if k == "b" else dice.gauss(0, 5)) for k, n in (("a", 500), ("b", 300), ("c", 1)) for i in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    shares = {"lo": 0.0, "q": 0.25, "m": 0.5, "p": 0.93, "hi": 1.0}
+    for by, groups in ((["k"], "abc"), ([], [None])):
+        got = {r["k"] if by else None: r for r in ordering.quantiles(df, "v", shares, by).collect()}
+        assert set(got) == set(groups)
+        for g in groups:
+            v = [x for k, x in rows if x is not None and g in (None, k)]
+            for name, share in shares.items():
+                assert got[g][name] == pytest.approx(np.quantile(v, share))
+
+
+def test_points_of_a_match(spark):
+    from tessera.operators import careers
+
+    names = ["minutes", "goals", "assists", "clean_sheet", "conceded", "saves", "penalties_saved", "penalties_missed", "yellows", "reds", "own_goals", "defensive", "bonus"]
+    rows = [("GKP", 90, 0, 0, True, 0, 7, 1, 0, 0, 0, 0, 30, 3), ("DEF", 59, 1, 1, True, 3, 5, 0, 1, 1, 1, 1, 10, 0), ("FWD", 0, 0, 0, False, 0, 0, 0, 0, 1, 0, 0, 12, 0), ("MID", 60, 2, 0, True, 4, 0, 0, 0, 1, 0, 0, None, 1)]
+    df = spark.createDataFrame(rows, "pos string, " + ", ".join(f"{n} {'boolean' if n == 'clean_sheet' else 'int'}" for n in names))
+    got = df.select(careers.points(F.col("pos"), {n: F.col(n) for n in names})["total"].alias("t")).collect()
+    assert sorted(r["t"] for r in got) == sorted([2 + 4 + 2 + 5 + 3, 1 + 6 + 3 - 1 - 2 - 3 - 2 + 2, -1, 2 + 10 + 1 - 1 + 1])
