@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import history
+from tessera.operators import history, regression, validation
 from tessera.plans.tables import PANEL, panel, query, r, table
 
 RECIPE = history.Recipe(
@@ -57,3 +57,55 @@ def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "entity", "period", *means, *(r(c, p).alias(c) for c, p in rounded.items()), "position_changed", F.col("is_GKP").alias("is_gkp"), F.col("is_FWD").alias("is_fwd"), F.col("appearances").cast("long").alias("appearances"),
         "team_rest", "team_recent", "team_manager_time", "team_manager_matches",
     )
+
+
+WEEKS = "entity, season, period % 12 AS week, s_nationkey AS club, CASE n % 4 WHEN 0 THEN 'GKP' WHEN 1 THEN 'DEF' ELSE 'MID' END AS position, CAST(qty AS BIGINT) % 95 AS minutes, n % 3 AS goals, n % 2 AS assists, CASE WHEN n % 5 > 2 THEN 1 ELSE 0 END AS clean_sheets, n % 4 AS conceded, n % 7 AS saves, n * 3 AS bps, CASE WHEN n % 6 = 0 THEN 1 ELSE 0 END AS yellows, CASE WHEN n % 9 = 0 THEN 1 ELSE 0 END AS reds, CASE WHEN n > 1 THEN CAST(qty AS BIGINT) END AS price"
+
+
+@query(
+    "L14_targets",
+    f"""WITH {PANEL}, w AS (SELECT {WEEKS} FROM panel JOIN supplier ON s_suppkey = entity), v AS (SELECT *, lead(season) OVER a = season AND lead(week) OVER a = week + 1 AS follows, lead(price) OVER a AS later FROM w WINDOW a AS (PARTITION BY entity ORDER BY season, week)),
+p AS (SELECT entity, season, week, 'minutes' AS component, CAST(minutes >= 60 AS DOUBLE) AS value FROM v UNION ALL SELECT entity, season, week, 'goal_rate', goals * 90.0 / minutes FROM v WHERE minutes >= 20 UNION ALL SELECT entity, season, week, 'assist_rate', assists * 90.0 / minutes FROM v WHERE minutes >= 20
+ UNION ALL SELECT entity, season, week, 'save_rate', saves * 90.0 / minutes FROM v WHERE minutes >= 20 AND position = 'GKP' UNION ALL SELECT entity, season, week, 'bps_rate', bps * 90.0 / minutes FROM v WHERE minutes >= 20 UNION ALL SELECT entity, season, week, 'card_rate', CAST(yellows + reds > 0 AS DOUBLE) FROM v WHERE minutes >= 20
+ UNION ALL SELECT entity, season, week, 'price_rise', CAST(later > price AS DOUBLE) FROM v WHERE follows AND later IS NOT NULL AND price IS NOT NULL UNION ALL SELECT min(entity), season, week, 'clean_sheet', arg_min(CAST(clean_sheets > 0 AS DOUBLE), entity) FROM v WHERE minutes >= 60 GROUP BY season, week, club
+ UNION ALL SELECT min(entity), season, week, 'conceded_rate', arg_min(conceded * 90.0 / minutes, entity) FROM v WHERE minutes >= 20 GROUP BY season, week, club)
+SELECT entity, season, week, component, round(value, 6) AS value FROM p""",
+)
+def component_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), "s_nationkey")
+    weeks = panel(spark, sf_dir).join(nations, "entity").selectExpr(*(e.strip() for e in WEEKS.split(", ")))
+    return validation.targets(weeks, "entity", "season", "week", "club", "position").withColumn("value", r("value"))
+
+
+@query(
+    "L10_splits",
+    f"""WITH {PANEL}, c AS (SELECT season, count(*) AS n FROM panel GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY season) AS i, max(season) OVER () AS top FROM c)
+SELECT k.season AS test, k.n AS test_rows, min(t.season) AS first, max(t.season) AS last, CAST(sum(t.n) AS BIGINT) AS train_rows, (SELECT n FROM k p WHERE p.i = k.i - 1) AS purged FROM k JOIN k t ON t.i BETWEEN k.i - 4 AND k.i - 2 WHERE k.season > k.top - 3 GROUP BY k.season, k.n, k.i""",
+)
+def rolling_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rolling splits of three seasons each, a season apart from what they are tested on."""
+    found = validation.splits(panel(spark, sf_dir), "season", 3, embargo=1, window=3)
+    return spark.createDataFrame([(s.test, s.test_rows, s.first, s.last, s.train_rows, s.purged) for s in found], "test long, test_rows long, first long, last long, train_rows long, purged long")
+
+
+def _fitted(names: list[str], target: str):
+    def fit(rows: DataFrame):
+        model = regression.ols(rows, names, target)
+        return lambda df: df.withColumn("prediction", model.fitted())
+
+    return fit
+
+
+@query("L11_learning_curve")
+def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = panel(spark, sf_dir)
+    split = validation.splits(rows, "season", 1, embargo=0)[0]
+    found = validation.learning_curve(rows, "revenue", "season", ["period", "entity"], split, _fitted(["qty", "n"], "revenue"))
+    return spark.createDataFrame([(f["train_rows"], f["train_rmse"], f["test_rmse"]) for f in found], "train_rows long, train_rmse double, test_rmse double")
+
+
+@query("L11_permutation_null")
+def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = panel(spark, sf_dir).select("entity", "period", "season", "qty", "revenue")
+    found = validation.permutation_null(rows, "revenue", "season", ["entity", "period"], validation.splits(rows, "season", 2, embargo=0), _fitted(["qty"], "revenue"), runs=3)
+    return spark.createDataFrame([(found["observed"], found["null_mean"], found["null_sd"], found["p"])], "observed double, null_mean double, null_sd double, p double")
