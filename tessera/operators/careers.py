@@ -117,3 +117,17 @@ def latest_shape(starts: DataFrame, player: str, club: str, at: str, shape: str,
     roles = counts.groupBy(player).agg(F.max(F.struct("n", "t", "r"))["r"].alias("role"))
     found = own.join(clubs, club, "left").join(roles, player, "left")
     return found.select(player, F.coalesce("_own", "_club").alias("shape"), F.col("_own").isNotNull().alias("own"), "role")
+
+
+def in_charge(staff: DataFrame, spells: DataFrame, club: str, folded: Column, name: str, at: Column) -> DataFrame:
+    """For each club the staff row named by the spell that covers ``at``, else its first row.
+
+    ``staff`` has ``club``, a name and a ``place`` in the feed; ``spells`` ``club``, the
+    folded name ``name``, ``start`` and ``end`` (null: open).  Of several open spells the latest counts.
+    """
+    now = spells.where((F.col("start") <= at) & (F.col("end").isNull() | (F.col("end") > at)))
+    current = now.groupBy(club).agg(F.max(F.struct("start", name))[name].alias("_name"))
+    met = staff.withColumn("_folded", folded).join(current, club, "left")
+    named = F.coalesce(F.col("_folded") == F.col("_name"), F.lit(False))
+    best = met.groupBy(club).agg(F.min(F.struct((~named).alias("_other"), F.struct("place", *(c for c in staff.columns if c not in (club, "place"))).alias("row"))).alias("_best"))
+    return best.select(club, "_best.row.*", (~F.col("_best._other")).alias("by_spell"))

@@ -64,6 +64,18 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def first_flagged(df: DataFrame, flag: Column, order: list[Column]) -> DataFrame:
+    """The first row, in ``order``, for which ``flag`` holds; no row if none does."""
+    return df.where(flag).orderBy(*order).limit(1)
+
+
+def listed(df: DataFrame, filters: list[Column], order: list[Column], offset: int, limit: int, most: int = 500) -> DataFrame:
+    """A page of at most ``most`` rows that all filters hold for."""
+    for one in filters:
+        df = df.where(one)
+    return page(df, order, max(0, offset), max(1, min(most, limit)))
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     spec = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("place", F.row_number().over(spec)).where(F.col("place") <= n)

@@ -60,3 +60,9 @@ def kept_share(df: DataFrame, entity: str, period: str) -> DataFrame:
     following = sizes.select((F.col(period) - 1).alias(period), F.col("size").alias("next_size"))
     met = sizes.join(following, period).join(shared, period, "left").fillna(0, ["shared"])
     return met.withColumn("turnover", 1 - F.col("shared") / F.col("next_size"))
+
+
+def distinct_sets(df: DataFrame, members: str, keep: str) -> DataFrame:
+    """One row for each set of members, whatever their order and repetitions: the one with the smallest ``keep``, and how ``often`` it came."""
+    rows = df.withColumn("_set", F.array_sort(F.array_distinct(members)))
+    return rows.groupBy("_set").agg(F.min_by(F.struct(*df.columns), keep).alias("_row"), F.count(F.lit(1)).alias("often")).select("_row.*", "often")

@@ -263,3 +263,33 @@ def errors(df: DataFrame, predicted: str, actual: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"),
         (1 - F.try_divide(F.sum(d * d), F.var_pop(actual) * F.count(F.lit(1)))).alias("r2"),
     )
+
+
+def fits(df: DataFrame, c: str, by: list[str]) -> DataFrame:
+    """Parameters of five distributions fitted to the present values of each group, by moments or likelihood.
+
+    Normal (``mean``, ``sd``), Poisson (``rate``), exponential (``decay``, missing for a mean
+    of 0), negative binomial (``size``, ``chance``, missing unless the variance exceeds a
+    positive mean) and beta (``alpha``, ``beta``, 1 and 1 for a constant or a mean beyond 0 to 1).
+    """
+    rows = df.where(F.col(c).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean"), F.var_samp(c).alias("_v"))
+    m, v = F.col("mean"), F.col("_v")
+    wide, share = (v > m) & (m > 0), (v > 0) & (m > 0) & (m < 1)
+    common = F.try_divide(m * (1 - m), v) - 1
+    return rows.select(
+        *by, "n", "mean", F.sqrt(v).alias("sd"), m.alias("rate"), F.try_divide(F.lit(1.0), m).alias("decay"), F.when(wide, F.try_divide(m * m, v - m)).alias("size"), F.when(wide, m / v).alias("chance"),
+        F.when(share, m * common).otherwise(1.0).alias("alpha"), F.when(share, (1 - m) * common).otherwise(1.0).alias("beta"),
+    )
+
+
+def normal_plot(df: DataFrame, c: str) -> DataFrame:
+    """``value``, ``n``, and the ``low`` and ``high`` plotting positions (place - 3/8) / (count + 1/4) of equal values.
+
+    A normal quantile of a position against its value is a point of the plot; equal
+    values are one row, numbered by ranges.
+    """
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("_all"))  # one row
+    placed = running(counts, "value", {"_before": "n"}).crossJoin(F.broadcast(total))
+    at = lambda place: (place - 0.375) / (F.col("_all") + 0.25)
+    return placed.select("value", "n", at(F.col("_before") + 1).alias("low"), at(F.col("_before") + F.col("n")).alias("high"))

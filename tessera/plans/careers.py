@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import careers, ordering
+from tessera.functions import domain as D
+from tessera.operators import careers, frames, ordering, sets, stats
 from tessera.plans.tables import MATCHES, PANEL, matches, panel, query, r, table
 
 STATS = {
@@ -114,3 +115,54 @@ def quantile_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
     found = ordering.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", shares, ["l_returnflag"])
     return found.select("l_returnflag", *(r(c).alias(c) for c in shares))
+
+
+@query(
+    "K15_fits",
+    """WITH m AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mean, var_samp(l_quantity) AS v, avg(l_tax * 10) AS mt, var_samp(l_tax * 10) AS vt FROM lineitem GROUP BY 1)
+SELECT l_returnflag, n, round(sqrt(v), 6) AS sd, round(1 / mean, 9) AS decay, round(mean * mean / (v - mean), 6) AS size, round(mean / v, 9) AS chance, round(mt * (mt * (1 - mt) / vt - 1), 6) AS alpha, round((1 - mt) * (mt * (1 - mt) / vt - 1), 6) AS beta FROM m""",
+)
+def fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("share", F.col("l_tax") * 10)
+    whole = stats.fits(lines, "l_quantity", ["l_returnflag"]).select("l_returnflag", "n", r("sd").alias("sd"), r("decay", 9).alias("decay"), r("size").alias("size"), r("chance", 9).alias("chance"))
+    return whole.join(stats.fits(lines, "share", ["l_returnflag"]).select("l_returnflag", r("alpha").alias("alpha"), r("beta").alias("beta")), "l_returnflag")
+
+
+@query(
+    "K6_normal_plot",
+    "WITH k AS (SELECT l_extendedprice AS value, row_number() OVER (ORDER BY l_extendedprice) AS i, count(*) OVER () AS c FROM lineitem) SELECT value, count(*) AS n, round((min(i) - 0.375) / (max(c) + 0.25), 9) AS low, round((max(i) - 0.375) / (max(c) + 0.25), 9) AS high FROM k GROUP BY 1",
+)
+def normal_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.normal_plot(table(spark, sf_dir, "lineitem"), "l_extendedprice").select("value", "n", r("low", 9).alias("low"), r("high", 9).alias("high"))
+
+
+@query("U7_distinct_sets", "SELECT min(l_orderkey) AS l_orderkey, count(*) AS often FROM (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey % 7))) AS s FROM lineitem GROUP BY 1) GROUP BY s")
+def distinct_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_suppkey") % 7).alias("members"))
+    return sets.distinct_sets(orders, "members", "l_orderkey").select("l_orderkey", "often")
+
+
+@query("T10_first_flagged", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def first_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = frames.first_flagged(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "P", [F.col("o_orderdate"), F.col("o_orderkey")])
+    return found.select("o_orderkey", "o_totalprice")
+
+
+@query("T2_T3_player_list", "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size BETWEEN 5 AND 30 AND contains(p_name, 'ring') ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 3")
+def player_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = [F.col("p_size").between(5, 30), F.contains("p_name", F.lit("ring"))]
+    return frames.listed(table(spark, sf_dir, "part"), filters, [F.desc("p_retailprice"), F.col("p_partkey")], 3, 20).select("p_partkey", "p_name", "p_retailprice")
+
+
+@query(
+    "J26_in_charge",
+    """WITH st AS (SELECT s_nationkey AS club, s_name AS name, s_suppkey AS place FROM supplier), sp AS (SELECT s_nationkey AS club, regexp_replace(lower(replace(s_name, '#', '-')), '[^a-z0-9]', '', 'g') AS folded, s_suppkey % 50 AS start, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 50 + 20 END AS ends FROM supplier WHERE s_suppkey % 2 = 0 AND s_nationkey % 4 > 0),
+c AS (SELECT club, arg_max(folded, (start, folded)) AS folded FROM sp WHERE start <= 30 AND (ends IS NULL OR ends > 30) GROUP BY 1), m AS (SELECT st.*, coalesce(regexp_replace(lower(name), '[^a-z0-9]', '', 'g') = folded, false) AS hit FROM st LEFT JOIN c USING (club))
+SELECT club, name, hit AS by_spell FROM (SELECT *, row_number() OVER (PARTITION BY club ORDER BY hit DESC, place) AS k FROM m) WHERE k = 1""",
+)
+def in_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    staff = s.select(F.col("s_nationkey").alias("club"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("place"))
+    own = s.where("s_suppkey % 2 = 0 AND s_nationkey % 4 > 0")
+    spells = own.select(F.col("s_nationkey").alias("club"), D.fold_name(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("folded"), (F.col("s_suppkey") % 50).alias("start"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 50 + 20).alias("end"))
+    return careers.in_charge(staff, spells, "club", D.fold_name(F.col("name")), "folded", F.lit(30)).select("club", "name", "by_spell")
