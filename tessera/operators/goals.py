@@ -80,3 +80,49 @@ def goal_expectations(df: DataFrame, home: Column, draw: Column, away: Column, o
     columns = [c.cast("double") for c in (home, draw, away, F.lit(None) if over is None else over)]
     fitted = df.withColumn(name, F.pandas_udf(_fit, _FIT)(*columns))
     return fitted.withColumn(name, F.when(F.col(f"{name}.error").isNotNull(), F.col(name)))
+
+
+def forecast(df: DataFrame, home: Column, away: Column, likely: int = 5) -> DataFrame:
+    """Add what two goal expectations say of a match, by independent Poisson counts of at most ``MOST_GOALS``.
+
+    ``home_win``, ``draw``, ``away_win``, ``over25``, ``home_clean_sheet``,
+    ``away_clean_sheet``, ``both_to_score`` and ``scores``, the likeliest scorelines of up
+    to six goals a side (home, away, p), of equal ones those with fewer goals first.
+    """
+    counts = F.sequence(F.lit(0), F.lit(MOST_GOALS))
+
+    def shares(rate: Column) -> Column:
+        return F.transform(counts, lambda k: F.pow(rate, k) * F.exp(-rate) / F.factorial(k))
+
+    def total(array: Column) -> Column:
+        return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+
+    def beats(mine: str, other: str) -> Column:
+        """The chance of more goals than the other side."""
+        return total(F.transform(F.col(mine), lambda p, k: p * total(F.slice(other, F.lit(1), k))))
+
+    rows = df.withColumns({"_home": shares(home.cast("double")), "_away": shares(away.cast("double"))})
+    few = [F.get("_home", F.lit(h)) * F.get("_away", F.lit(a)) for h in range(3) for a in range(3 - h)]
+    scores = F.array(*(F.struct((-F.get("_home", F.lit(h)) * F.get("_away", F.lit(a))).alias("p"), F.lit(h + a).alias("n"), F.lit(h).alias("home"), F.lit(a).alias("away")) for h in range(7) for a in range(7)))
+    best = F.transform(F.slice(F.sort_array(scores), 1, likely), lambda x: F.struct(x["home"].alias("home"), x["away"].alias("away"), (-x["p"]).alias("p")))
+    none = {"home_clean_sheet": F.get("_away", F.lit(0)), "away_clean_sheet": F.get("_home", F.lit(0))}
+    rows = rows.withColumns({
+        "home_win": beats("_home", "_away"), "draw": total(F.zip_with("_home", "_away", lambda h, a: h * a)), "away_win": beats("_away", "_home"), **none,
+        "over25": total(F.col("_home")) * total(F.col("_away")) - sum(few[1:], few[0]), "both_to_score": (1 - none["home_clean_sheet"]) * (1 - none["away_clean_sheet"]), "scores": best,
+    })
+    return rows.drop("_home", "_away")
+
+
+def expected_goals(df: DataFrame, strengths: DataFrame, home: str, away: str, team: str, baseline: Column, advantage: Column) -> DataFrame:
+    """Add ``home_goals`` and ``away_goals`` expected of a match from both sides' ``attack`` and ``defence``.
+
+    A side without a record is average; the advantage of playing at home is split
+    between both sides, so the total stays as it is.
+    """
+    out = df
+    for side, c in (("_h", home), ("_a", away)):
+        out = out.join(strengths.select(F.col(team).alias(c), F.col("attack").alias(f"{side}_attack"), F.col("defence").alias(f"{side}_defence")), c, "left")
+    known = {c: F.coalesce(F.col(c), F.lit(1.0)) for c in ("_h_attack", "_h_defence", "_a_attack", "_a_defence")}
+    tilt = F.sqrt(advantage)
+    out = out.withColumns({"home_goals": baseline * known["_h_attack"] * known["_a_defence"] * tilt, "away_goals": baseline * known["_a_attack"] * known["_h_defence"] / tilt})
+    return out.drop(*known)

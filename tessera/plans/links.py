@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import domain as D
 from tessera.operators import goals, linking, neighbours
-from tessera.plans.tables import MATCHES, matches, query, r, seconds, table
+from tessera.plans.relations import strength
+from tessera.plans.tables import MATCHES, ORACLE_SQL, matches, query, r, seconds, table
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,3 +104,23 @@ def nearest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     found = neighbours.neighbours(parts.where("p_partkey % 20 = 0"), parts, "p_partkey", ["p_size", "p_retailprice"], 10)
     return found.select("key", "place", r("distance", 9).alias("distance"))
+
+
+@query(
+    "N25_T6_forecast",
+    f"""WITH {MATCHES}, st AS ({ORACLE_SQL["A18_strength"]}), m AS (SELECT (avg(home_goals) + avg(away_goals)) / 2 AS base, avg(home_goals) / avg(away_goals) AS adv FROM matches), f AS (SELECT DISTINCT home, away FROM matches),
+e AS (SELECT f.home, f.away, base * h.attack * a.defence * sqrt(adv) AS x, base * a.attack * h.defence / sqrt(adv) AS y FROM f JOIN st h ON h.team = f.home JOIN st a ON a.team = f.away, m),
+g AS (SELECT e.home, e.away, x, y, i.k AS hg, j.k AS ag, exp(-x) * pow(x, i.k) / factorial(CAST(i.k AS INTEGER)) * exp(-y) * pow(y, j.k) / factorial(CAST(j.k AS INTEGER)) AS p FROM e, (SELECT unnest(range(16)) AS k) i, (SELECT unnest(range(16)) AS k) j)
+SELECT home, away, round(max(x), 6) AS home_goals, round(max(y), 6) AS away_goals, round(sum(p) FILTER (hg > ag), 6) AS home_win, round(sum(p) FILTER (hg = ag), 6) AS draw, round(sum(p) FILTER (hg < ag), 6) AS away_win, round(sum(p) FILTER (hg + ag > 2), 6) AS over25, round(exp(-max(y)), 6) AS home_clean_sheet,
+ arg_max(hg || '-' || ag, p) FILTER (hg <= 6 AND ag <= 6) AS likeliest FROM g GROUP BY 1, 2""",
+)
+def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expectations and outcomes of every pairing that has been played, from both sides' strengths."""
+    m = matches(spark, sf_dir)
+    means = m.agg(F.avg("home_goals").alias("h"), F.avg("away_goals").alias("a"))  # one row
+    pairs = m.select("home", "away").distinct().crossJoin(F.broadcast(means))
+    known = goals.expected_goals(pairs, strength(spark, sf_dir), "home", "away", "team", (F.col("h") + F.col("a")) / 2, F.col("h") / F.col("a"))
+    found = goals.forecast(known, F.col("home_goals"), F.col("away_goals"))
+    names = ("home_goals", "away_goals", "home_win", "draw", "away_win", "over25", "home_clean_sheet")
+    first = F.get("scores", F.lit(0))
+    return found.select("home", "away", *(r(c).alias(c) for c in names), F.concat_ws("-", first["home"], first["away"]).alias("likeliest"))

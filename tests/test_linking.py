@@ -96,3 +96,13 @@ def test_fitted_goals_equal_the_full_search(spark):
         fine = [(sum((x - y) ** 2 for x, y in zip(slow(u, v)[:width], target[:width], strict=True)), u, v) for u in (min(4.5, max(0.05, h + 0.01 * s)) for s in range(-5, 6)) for v in (min(4.5, max(0.05, a + 0.01 * s)) for s in range(-5, 6))]
         assert got[i]["error"] == pytest.approx(min(fine)[0], abs=1e-12)
     assert got[91]["home"] == pytest.approx(1.37) and got[91]["away"] == pytest.approx(0.92)
+
+
+def test_forecasts_of_expectations(spark):
+    pairs = [(0.3, 2.1), (1.4, 1.1), (3.0, 3.0)]
+    got = goals.forecast(spark.createDataFrame(pairs, "h double, a double"), F.col("h"), F.col("a")).collect()
+    for r in got:
+        want = slow(r["h"], r["a"])
+        assert [r["home_win"], r["draw"], r["away_win"], r["over25"]] == pytest.approx(want, abs=1e-9)
+        assert r["both_to_score"] == pytest.approx((1 - math.exp(-r["h"])) * (1 - math.exp(-r["a"]))) and len(r["scores"]) == 5
+        assert [s["p"] for s in r["scores"]] == sorted((s["p"] for s in r["scores"]), reverse=True)
