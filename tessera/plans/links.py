@@ -9,6 +9,7 @@ from tessera.functions import domain as D
 from tessera.operators import goals, linking, neighbours
 from tessera.plans.relations import strength
 from tessera.plans.tables import MATCHES, ORACLE_SQL, matches, query, r, seconds, table
+from tessera.sources import archive
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,3 +125,27 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("home_goals", "away_goals", "home_win", "draw", "away_win", "over25", "home_clean_sheet")
     first = F.get("scores", F.lit(0))
     return found.select("home", "away", *(r(c).alias(c) for c in names), F.concat_ws("-", first["home"], first["away"]).alias("likeliest"))
+
+
+ARCHIVE = "CAST(year(l_shipdate) AS VARCHAR) AS season, CASE WHEN l_partkey % 17 = 0 THEN 'x' ELSE CAST(l_partkey AS VARCHAR) || CASE WHEN l_partkey % 2 = 0 THEN '.0' ELSE '' END END AS element, CAST(l_linenumber % 4 AS VARCHAR) AS week, l_quantity AS minutes, l_extendedprice AS xg"
+KNOWN = "CAST(1992 + p_partkey % 7 AS VARCHAR) AS season, CAST(p_partkey AS VARCHAR) AS id, CAST(p_partkey * 10 AS VARCHAR) AS code"
+_KEYED = f"WITH a AS (SELECT {ARCHIVE} FROM lineitem), k AS (SELECT {KNOWN} FROM part), j AS (SELECT a.*, k.code FROM a LEFT JOIN k ON k.season = a.season AND k.id = replace(a.element, '.0', '') AND CAST(k.code AS BIGINT) > 0)"
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    def text(sql: str) -> list[str]:
+        return [e.strip().replace("VARCHAR", "STRING") for e in sql.split(", ")]
+
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*text(ARCHIVE))
+    return rows, archive.codes(table(spark, sf_dir, "part").selectExpr(*text(KNOWN)), "season", "id", "code")
+
+
+@query("J6_S19_archive_codes", f"{_KEYED} SELECT season, CAST(code AS BIGINT) AS code, CAST(week AS BIGINT) AS week, count(*) AS n, round(sum(minutes), 2) AS minutes, round(sum(CASE WHEN CAST(season AS INTEGER) >= 1996 THEN xg END), 2) AS xg FROM j WHERE code IS NOT NULL AND CAST(week AS BIGINT) >= 1 GROUP BY ALL")
+def archive_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archive.rekeyed(*_archive(spark, sf_dir), "season", "element", "week", {"xg": 1996})
+    return rows.groupBy("season", "code", "week").agg(F.count(F.lit(1)).alias("n"), r(F.sum("minutes"), 2).alias("minutes"), r(F.sum("xg"), 2).alias("xg"))
+
+
+@query("J6_archive_rejects", f"{_KEYED} SELECT season, CASE WHEN code IS NULL THEN 'element' ELSE 'week' END AS reason, count(*) AS n FROM j WHERE code IS NULL OR CAST(week AS BIGINT) < 1 GROUP BY ALL")
+def archive_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.rejected(*_archive(spark, sf_dir), "season", "element", "week")
