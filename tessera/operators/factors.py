@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import previous
+from .ordering import previous, quantiles
 from .windows import average_rank, ordinal
 
 
@@ -88,7 +88,7 @@ def top_turnover(obs: DataFrame, k: int) -> DataFrame:
 
 def winsorised(df: DataFrame, c: str, share: float) -> DataFrame:
     """``c`` clamped to its own quantiles ``share`` and 1 - ``share``."""
-    edge = df.agg(F.percentile(c, F.lit(share)).alias("_lo"), F.percentile(c, F.lit(1 - share)).alias("_hi"))
+    edge = quantiles(df, c, {"_lo": share, "_hi": 1 - share})  # one row
     return df.crossJoin(F.broadcast(edge)).withColumn(c, F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col("_lo")), F.col("_hi")))).drop("_lo", "_hi")
 
 

@@ -5,13 +5,24 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import special
+
 from .ordering import least_after, running, value_ranks
 from .windows import average_rank
 
 
+def t_p_value(t: Column, df: Column) -> Column:
+    """Two-sided p value of a t statistic; meant for one row a test or group."""
+    def tails(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or pd.isna(k) or k <= 0 else special.t_two_sided(x, k) for x, k in zip(t, df, strict=True)], dtype="float64")
+
+    return F.pandas_udf(tails, "double")(t.cast("double"), df.cast("double"))
+
+
 def quantile(c: str, p: float) -> Column:
     """Exact type-7 quantile."""
     return F.percentile(c, F.lit(p))
@@ -97,14 +108,15 @@ def correlation(a: Column, b: Column) -> Column:
 
 
 def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """``n``, ``r``, its t statistic and Fisher interval; missing below three pairs."""
+    """``n``, ``r``, its t statistic, two-sided ``p`` and Fisher interval; missing below three pairs, p 0 for a perfect line."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     out = rows.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), correlation(F.col(a), F.col(b)).alias("_r"))
     r = F.when((F.col("n") >= 3) & F.col("_r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_r"))))
     out = out.withColumn("r", r).drop("_r")
     t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / F.when(F.abs("r") < 1, 1 - F.col("r") * F.col("r"))))
     z, half = F.when(F.abs("r") < 1, F.atanh(F.col("r"))), F.when(F.col("n") > 3, 1.959963984540054 / F.sqrt(F.col("n") - 3.0))
-    return out.withColumns({"t": t, "low": F.tanh(z - half), "high": F.tanh(z + half)})
+    out = out.withColumns({"t": t, "low": F.tanh(z - half), "high": F.tanh(z + half)})
+    return out.withColumn("p", F.when(F.abs("r") >= 1, 0.0).otherwise(t_p_value(F.col("t"), F.col("n") - 2)))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
@@ -177,18 +189,19 @@ def regression(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def welch(df: DataFrame, c: str, label: str) -> DataFrame:
-    """Welch's t, its degrees of freedom and Cohen's d of the values labelled 1 against 0."""
+    """Welch's t, its degrees of freedom, two-sided ``p`` and Cohen's d of the values labelled 1 against 0."""
     sides = [F.when(F.col(label) == k, F.col(c)) for k in (1, 0)]
     m = [F.avg(x) for x in sides]
     v = [F.var_samp(x) for x in sides]
     n = [F.count(x).cast("double") for x in sides]
     e = [F.try_divide(v[i], n[i]) for i in (0, 1)]
     pooled = F.sqrt(F.try_divide((n[0] - 1) * v[0] + (n[1] - 1) * v[1], n[0] + n[1] - 2))
-    return df.agg(
+    out = df.agg(
         n[0].cast("long").alias("n_1"), n[1].cast("long").alias("n_0"), (m[0] - m[1]).alias("difference"), F.try_divide(m[0] - m[1], F.sqrt(e[0] + e[1])).alias("t"),
         F.try_divide(F.pow(e[0] + e[1], F.lit(2)), F.try_divide(e[0] * e[0], n[0] - 1) + F.try_divide(e[1] * e[1], n[1] - 1)).alias("df"),
         F.try_divide(m[0] - m[1], pooled).alias("d"),
     )
+    return out.withColumn("p", t_p_value(F.col("t"), F.col("df")))
 
 
 def rank_sum(df: DataFrame, c: str, label: str) -> DataFrame:
@@ -207,7 +220,8 @@ def rank_sum(df: DataFrame, c: str, label: str) -> DataFrame:
     n1, n0 = F.col("n_1").cast("double"), F.col("n_0").cast("double")
     n, u = n1 + n0, F.col("r") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
-    return s.select("n_1", "n_0", F.least(u, n1 * n0 - u).alias("u"), F.try_divide(u - n1 * n0 / 2, sd).alias("z"), (2 * F.try_divide(u, n1 * n0) - 1).alias("biserial"))
+    z = F.try_divide(u - n1 * n0 / 2, sd)
+    return s.select("n_1", "n_0", F.least(u, n1 * n0 - u).alias("u"), z.alias("z"), normal_p_value(z).alias("p"), (2 * F.try_divide(u, n1 * n0) - 1).alias("biserial"))
 
 
 def proportions(df: DataFrame, success: str, label: str) -> DataFrame:
@@ -216,7 +230,15 @@ def proportions(df: DataFrame, success: str, label: str) -> DataFrame:
     n = [F.count(F.when(F.col(label) == k, F.col(success))).cast("double") for k in (1, 0)]
     p = [F.try_divide(x[i], n[i]) for i in (0, 1)]
     pool = F.try_divide(x[0] + x[1], n[0] + n[1])
-    return df.agg(p[0].alias("p_1"), p[1].alias("p_0"), F.try_divide(p[0] - p[1], F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), n[0]) + F.try_divide(F.lit(1.0), n[1])))).alias("z"))
+    z = F.try_divide(p[0] - p[1], F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), n[0]) + F.try_divide(F.lit(1.0), n[1]))))
+    return df.agg(p[0].alias("p_1"), p[1].alias("p_0"), z.alias("z")).withColumn("p", normal_p_value(F.col("z")))
+
+
+def one_sample(df: DataFrame, c: str, against: float = 0.0, by: list[str] | None = None) -> DataFrame:
+    """Mean, t, degrees of freedom and two-sided ``p`` of the present values against a number; of a difference of two columns it is the paired test."""
+    n, sd = F.count(c), F.stddev_samp(c)
+    out = df.groupBy(*(by or [])).agg(n.alias("n"), F.avg(c).alias("mean"), F.try_divide(F.avg(c) - against, sd / F.sqrt(n)).alias("t"), (n - 1).alias("df"))
+    return out.withColumn("p", t_p_value(F.col("t"), F.col("df")))
 
 
 def false_discovery(df: DataFrame, p: str) -> DataFrame:
@@ -237,6 +259,10 @@ def standard_normal_cdf(x: Column) -> Column:
     return 0.5 * (1 + F.signum(x) * erf)
 
 
+def normal_p_value(z: Column) -> Column:
+    return 2 * (1 - standard_normal_cdf(F.abs(z)))
+
+
 def classification(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFrame:
     """AUC by ranks, Brier score, log loss, accuracy, precision and recall in one row."""
     # the share of pairs that label 1 wins, which the lesser U would fold to at most a half

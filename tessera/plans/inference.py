@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import concordance, explain, regression, resampling, windows
+from tessera.operators import concordance, explain, regression, resampling, stats, windows
 from tessera.plans.tables import PANEL, panel, query, r, table
 
 
@@ -151,3 +151,8 @@ def shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributions of every month of every twentieth supplier."""
     rows, model = _line_of_two(spark, sf_dir)
     return explain.shapley(model, rows.where("entity % 20 = 0"), rows, ["qty", "n"], ["entity", "period"], samples=20)
+
+
+@query("K25_one_sample", f"WITH {PANEL} SELECT entity, count(*) AS n, count(*) - 1 AS df, round((avg(qty) - 30) / (stddev_samp(qty) / sqrt(count(*))), 6) AS t FROM panel GROUP BY 1")
+def one_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.one_sample(panel(spark, sf_dir), "qty", 30.0, ["entity"]).select("entity", "n", "df", r("t").alias("t"))

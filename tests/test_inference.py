@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import special
-from tessera.operators import concordance, regression, resampling, windows
+from tessera.operators import concordance, regression, resampling, stats, windows
 
 
 def pairs_of(rows):
@@ -187,3 +187,17 @@ def test_partial_autocorrelation(spark):
         m = np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
         assert next(x["pacf"] for x in got if (x["k"], x["lag"]) == ("a", k)) == pytest.approx(np.linalg.solve(m, r[1 : k + 1])[-1])
     assert {x["k"] for x in got} == {"a", "d"} and max(x["lag"] for x in got if x["k"] == "d") == 2
+
+
+def test_p_values(spark):
+    dice = np.random.default_rng(4)
+    x, y = dice.normal(0.3, 1, 60), dice.normal(0, 2, 60)
+    df = spark.createDataFrame([(float(a), float(b), int(a > 0)) for a, b in zip(x, y, strict=True)], "x double, y double, l int")
+    got = stats.pearson(df, "x", "y").first()
+    assert got["p"] == pytest.approx(special.t_two_sided(got["t"], 58)) and stats.pearson(df.withColumn("y", F.col("x") * 2), "x", "y").first()["p"] < 1e-12
+    one = stats.one_sample(df, "x", 0.1).first()
+    assert one["t"] == pytest.approx((x.mean() - 0.1) / (x.std(ddof=1) / 60**0.5)) and one["p"] == pytest.approx(special.t_two_sided(one["t"], 59))
+    w = stats.welch(df, "y", "l").first()
+    assert w["p"] == pytest.approx(special.t_two_sided(w["t"], w["df"]))
+    u = stats.rank_sum(df, "y", "l").first()
+    assert u["p"] == pytest.approx(special.normal_two_sided(u["z"]), abs=1e-6)
