@@ -54,3 +54,41 @@ def t_critical(level: float, df: float) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if t_two_sided(mid, df) > 1 - level else (low, mid)
     return (low + high) / 2
+
+
+def gamma_share(a: float, x: float) -> float:
+    """Regularised lower incomplete gamma function, by its series or continued fraction."""
+    if x <= 0:
+        return 0.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while abs(term) > 1e-16 * abs(total):
+            k += 1
+            term *= x / k
+            total += term
+        return front * total
+    b, c, d = x + 1 - a, 1e300, 1 / (x + 1 - a)
+    f = d
+    for i in range(1, 100_000):
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b or 1e-300)
+        c = b + step / c or 1e-300
+        f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 - front * f
+
+
+def chi2_upper(x: float, df: float) -> float:
+    return 1 - gamma_share(df / 2, x / 2)
+
+
+def kolmogorov_upper(d: float, n: float) -> float:
+    """Of the greatest distance of n values from a distribution, scaled for small samples."""
+    root = math.sqrt(n)
+    reach = (root + 0.12 + 0.11 / root) * d
+    total = sum(2 * (-1) ** (j - 1) * math.exp(-2 * j * j * reach * reach) for j in range(1, 101))
+    return min(1.0, max(0.0, total)) if reach > 0.04 else 1.0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -319,3 +320,44 @@ def normal_plot(df: DataFrame, c: str) -> DataFrame:
     placed = running(counts, "value", {"_before": "n"}).crossJoin(F.broadcast(total))
     at = lambda place: (place - 0.375) / (F.col("_all") + 0.25)
     return placed.select("value", "n", at(F.col("_before") + 1).alias("low"), at(F.col("_before") + F.col("n")).alias("high"))
+
+
+def _of_two(tail: Callable[[float, float], float], a: Column, b: Column) -> Column:
+    """A tail probability of two columns; meant for one row a test."""
+    def each(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or pd.isna(y) else tail(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(each, "double")(a.cast("double"), b.cast("double"))
+
+
+def departure(df: DataFrame, c: str, share: Callable[[Column], Column]) -> DataFrame:
+    """Kolmogorov-Smirnov: ``n``, the greatest distance ``d`` of the present values from a distribution function, and ``p``.
+
+    Equal values are one row, numbered by ranges.
+    """
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    total = counts.agg(F.sum("k").alias("n"))  # one row
+    placed = running(counts, "v", {"_before": "k"}).crossJoin(F.broadcast(total)).withColumn("_f", share(F.col("v")))
+    apart = F.greatest(F.abs((F.col("_before") + F.col("k")) / F.col("n") - F.col("_f")), F.abs(F.col("_f") - F.col("_before") / F.col("n")))
+    found = placed.agg(F.max("n").alias("n"), F.max(apart).alias("d"))
+    return found.withColumn("p", _of_two(special.kolmogorov_upper, F.col("d"), F.col("n")))
+
+
+def poisson_fit(df: DataFrame, c: str) -> DataFrame:
+    """Chi-square of counts against a Poisson of their mean: ``n``, ``cells``, ``statistic``, ``df`` and ``p``.
+
+    Counts whose expectation is below 5, and all beyond the largest, are one cell.
+    """
+    value = F.round(F.col(c)).cast("long")
+    seen = df.where(F.col(c).isNotNull()).groupBy(value.alias("k")).agg(F.count(F.lit(1)).alias("o"), F.sum(F.col(c).cast("double")).alias("s"))
+    total = seen.agg(F.sum("o").alias("n"), (F.sum("s") / F.sum("o")).alias("rate"), F.max("k").alias("top"))  # one row
+    # beyond so many deviations no count is expected five times in any table
+    last = F.least("top", F.ceil(F.col("rate") + 40 * F.sqrt("rate") + 40).cast("long"))
+    grid = total.where("rate > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    logs = F.sum(F.ln(F.greatest("k", F.lit(1)).cast("double"))).over(Window.orderBy("k"))  # as many rows as the rate calls for
+    expected = F.col("n") * F.exp(-F.col("rate") + F.col("k") * F.ln("rate") - F.col("_logs"))
+    cells = grid.withColumn("_logs", logs).withColumn("e", expected).where("e >= 5").join(seen.select("k", "o"), "k", "left").fillna(0, ["o"])
+    sums = cells.groupBy("n").agg(F.count(F.lit(1)).alias("m"), F.sum("e").alias("se"), F.sum("o").alias("so"), F.sum(F.pow(F.col("o") - F.col("e"), F.lit(2)) / F.col("e")).alias("x"))
+    rest, pooled = F.col("n") - F.col("se"), F.col("n") - F.col("so")
+    out = sums.select("n", (F.col("m") + 1).alias("cells"), (F.col("x") + F.pow(pooled - rest, F.lit(2)) / rest).alias("statistic"), F.greatest(F.lit(1), F.col("m") - 1).cast("long").alias("df"))
+    return out.withColumn("p", _of_two(special.chi2_upper, F.col("statistic"), F.col("df")))

@@ -156,3 +156,24 @@ def shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("K25_one_sample", f"WITH {PANEL} SELECT entity, count(*) AS n, count(*) - 1 AS df, round((avg(qty) - 30) / (stddev_samp(qty) / sqrt(count(*))), 6) AS t FROM panel GROUP BY 1")
 def one_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.one_sample(panel(spark, sf_dir), "qty", 30.0, ["entity"]).select("entity", "n", "df", r("t").alias("t"))
+
+
+@query(
+    "K16_departure",
+    """WITH m AS (SELECT avg(o_totalprice) AS m, count(*) AS n FROM orders), k AS (SELECT 1 - exp(-o_totalprice / m) AS f, n, row_number() OVER (ORDER BY o_totalprice) AS i FROM orders, m) SELECT max(n) AS n, round(max(greatest(abs(i / n - f), abs(f - (i - 1) / n))), 9) AS d FROM k""",
+)
+def departure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far prices are from an exponential distribution of their mean."""
+    orders = table(spark, sf_dir, "orders")
+    mean = orders.agg(F.avg("o_totalprice")).first()[0]
+    return stats.departure(orders, "o_totalprice", lambda x: 1 - F.exp(-x / mean)).select("n", r("d", 9).alias("d"))
+
+
+@query(
+    "K17_poisson_fit",
+    f"""WITH {PANEL}, m AS (SELECT count(*) AS c, avg(n) AS rate, max(n) AS top FROM panel), o AS (SELECT n AS k, count(*) AS o FROM panel GROUP BY 1), e AS (SELECT g.k, c, c * exp(-rate + g.k * ln(rate) - lgamma(g.k + 1)) AS e FROM m, unnest(range(CAST(top + 1 AS BIGINT))) AS g(k)),
+x AS (SELECT c, e, coalesce(o, 0) AS o FROM e LEFT JOIN o USING (k) WHERE e >= 5), s AS (SELECT max(c) AS n, count(*) AS m, sum(e) AS se, sum(o) AS so, sum(pow(o - e, 2) / e) AS x FROM x)
+SELECT n, m + 1 AS cells, round(x + pow((n - so) - (n - se), 2) / (n - se), 4) AS statistic, greatest(1, m - 1) AS df FROM s""",
+)
+def poisson_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.poisson_fit(panel(spark, sf_dir), "n").select("n", "cells", r("statistic", 4).alias("statistic"), "df")

@@ -201,3 +201,22 @@ def test_p_values(spark):
     assert w["p"] == pytest.approx(special.t_two_sided(w["t"], w["df"]))
     u = stats.rank_sum(df, "y", "l").first()
     assert u["p"] == pytest.approx(special.normal_two_sided(u["z"]), abs=1e-6)
+
+
+def test_distances_from_distributions(spark):
+    dice = np.random.default_rng(5)
+    v = np.round(dice.uniform(0, 1, 90), 2)
+    got = stats.departure(spark.createDataFrame([(float(x),) for x in v], "v double"), "v", lambda x: x * x).first()
+    s = np.sort(v)
+    i = np.arange(90)
+    d = max(np.abs((i + 1) / 90 - s * s).max(), np.abs(s * s - i / 90).max())
+    assert got["d"] == pytest.approx(d) and got["p"] == pytest.approx(special.kolmogorov_upper(d, 90))
+    k = dice.poisson(3.2, 400)
+    fit = stats.poisson_fit(spark.createDataFrame([(int(x),) for x in k], "k int"), "k").first()
+    rate, n = k.mean(), len(k)
+    e = [n * math.exp(-rate + j * math.log(rate) - math.lgamma(j + 1)) for j in range(k.max() + 1)]
+    cells = [(int((k == j).sum()), x) for j, x in enumerate(e) if x >= 5]
+    cells.append((n - sum(o for o, _ in cells), n - sum(x for _, x in cells)))
+    want = sum((o - x) ** 2 / x for o, x in cells)
+    assert (fit["cells"], fit["df"]) == (len(cells), len(cells) - 2) and fit["statistic"] == pytest.approx(want) and fit["p"] == pytest.approx(special.chi2_upper(want, len(cells) - 2))
+    assert special.chi2_upper(3.841458821, 1) == pytest.approx(0.05) and special.chi2_upper(30.0, 10) == pytest.approx(0.000856641, rel=1e-5)
