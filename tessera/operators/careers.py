@@ -11,6 +11,35 @@ CLEAN_SHEET = {"GKP": 4, "DEF": 4, "MID": 1, "FWD": 0}
 DEFENSIVE_ACTIONS = {"DEF": 10, "MID": 12, "FWD": 12}
 ASSIST, PENALTY_SAVED, PENALTY_MISSED, OWN_GOAL, YELLOW, RED, DEFENSIVE = 3, 5, -2, -2, -1, -3, 2
 FULL_MINUTES, SAVES_A_POINT, CONCEDED_A_POINT = 60, 3, 2
+# Fixed values of the projection: what availability is worth, and a step of fixture difficulty away from 3.
+AVAILABILITY = {"available": 1.0, "doubtful": 0.5, "not_in_squad": 0.1, "injured": 0.0, "suspended": 0.0, "unavailable": 0.0}
+DIFFICULTY_STEP = 0.12
+
+
+def projection(form: Column, seen: Column, season: Column, difficulty: Column, availability: Column, started: Column) -> dict[str, Column]:
+    """Points a game expected of a player: ``base``, both multipliers, ``points`` and ``reasons``.
+
+    ``form`` counts where ``seen`` matches of the window are there, else the ``season``'s
+    points a game.  Easier fixtures than 3 lift and harder ones cut, between 0.6 and
+    1.4 times (no fixture: once); ``started`` is the share of matches started, which
+    counts for 0.6 to 1 once there are any.  An unknown availability is missing.
+    """
+    def held(c: Column, low: float, high: float) -> Column:
+        return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+    played = F.coalesce(seen, F.lit(0)) > 0
+    base = F.when(played, form).otherwise(season)
+    fixture = F.when(difficulty.isNull(), 1.0).otherwise(held(1 + (3 - difficulty) * DIFFICULTY_STEP, 0.6, 1.4))
+    weight = F.lit(None).cast("double")
+    for name, w in AVAILABILITY.items():
+        weight = F.when(availability == name, w).otherwise(weight)
+    minutes = weight * F.when(played, held(0.6 + 0.4 * started, 0.6, 1.0)).otherwise(1.0)
+    reasons = F.array_compact(F.array(
+        F.when(played, F.format_string("%.1f points per game over the last %d gameweeks", base, seen.cast("int"))).otherwise(F.format_string("%.1f points per game, from last season", base)),
+        F.when(difficulty.isNotNull(), F.format_string("fixture difficulty averages %.1f", difficulty)), F.when(weight < 1, F.concat(F.lit("listed as "), F.translate(availability, "_", " "))),
+        F.when(played & (started < 1), F.format_string("started %d percent of those gameweeks", F.round(started * 100).cast("int"))),
+    ))
+    return {"base": base, "fixture_multiplier": fixture, "minutes_multiplier": minutes, "points": base * fixture * minutes, "reasons": reasons}
 
 
 def _of(position: Column, values: dict[str, int], otherwise: int | None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import domain as D
@@ -166,3 +166,22 @@ def in_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = s.where("s_suppkey % 2 = 0 AND s_nationkey % 4 > 0")
     spells = own.select(F.col("s_nationkey").alias("club"), D.fold_name(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("folded"), (F.col("s_suppkey") % 50).alias("start"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 50 + 20).alias("end"))
     return careers.in_charge(staff, spells, "club", D.fold_name(F.col("name")), "folded", F.lit(30)).select("club", "name", "by_spell")
+
+
+@query(
+    "N24_projection",
+    f"""WITH {PANEL}, f AS (SELECT entity, avg(n) FILTER (k <= 6 AND period > 20) AS form, count(*) FILTER (k <= 6 AND period > 20) AS seen, sum(n) / 38.0 AS season, avg(CAST(n > 2 AS INTEGER)) FILTER (k <= 6 AND period > 20) AS started FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY period DESC) AS k FROM panel) GROUP BY 1),
+a AS (SELECT *, CASE WHEN entity % 5 = 0 THEN NULL ELSE 1 + entity % 9 / 2.0 END AS d, ['available', 'available', 'doubtful', 'not_in_squad', 'injured'][1 + entity % 5] AS av FROM f),
+m AS (SELECT *, CASE WHEN seen > 0 THEN form ELSE season END AS base, CASE WHEN d IS NULL THEN 1 ELSE least(1.4, greatest(0.6, 1 + (3 - d) * 0.12)) END AS fix, CASE av WHEN 'available' THEN 1.0 WHEN 'doubtful' THEN 0.5 WHEN 'not_in_squad' THEN 0.1 ELSE 0.0 END * CASE WHEN seen > 0 THEN least(1, greatest(0.6, 0.6 + 0.4 * started)) ELSE 1 END AS mins FROM a)
+SELECT entity, round(base, 6) AS base, round(fix, 6) AS fixture_multiplier, round(mins, 6) AS minutes_multiplier, round(base * fix * mins, 6) AS points, CASE WHEN av <> 'available' THEN 'listed as ' || replace(av, '_', ' ') END AS listed FROM m""",
+)
+def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = Window.partitionBy("entity").orderBy(F.desc("period"))
+    rows = panel(spark, sf_dir).withColumn("k", F.row_number().over(last))
+    now = (F.col("k") <= 6) & (F.col("period") > 20)
+    f = rows.groupBy("entity").agg(F.avg(F.when(now, F.col("n"))).alias("form"), F.count_if(now).alias("seen"), (F.sum("n") / 38.0).alias("season"), F.avg(F.when(now, (F.col("n") > 2).cast("int"))).alias("started"))
+    difficulty = F.when(F.col("entity") % 5 != 0, 1 + F.col("entity") % 9 / 2.0)
+    listed = F.element_at(F.array(*map(F.lit, ("available", "available", "doubtful", "not_in_squad", "injured"))), (1 + F.col("entity") % 5).cast("int"))
+    found = careers.projection(*(F.col(c) for c in ("form", "seen", "season")), difficulty, listed, F.col("started"))
+    reason = F.get(F.filter(found["reasons"], lambda x: x.startswith("listed")), F.lit(0))
+    return f.select("entity", *(r(found[c]).alias(c) for c in ("base", "fixture_multiplier", "minutes_multiplier", "points")), reason.alias("listed"))
