@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links join, keep the one with the smallest id.
 
     Linked are those whose five-word shingles have a Jaccard similarity of 0.8 or
-    more.  Rows with equal ids share a verdict.
+    more, found by op6's SimHash index and, beyond its radius, by minimum hashes.  Rows with equal ids share a verdict.
     """
     grouped = resemblance.near_copies(docs)
     gone = grouped.where("component_id <> doc_id").select("doc_id").distinct()

@@ -1,15 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-Candidates meet in bands of minimum hashes: two sets of similarity s share one of
-``BANDS`` bands of ``ROWS`` minima with chance 1 - (1 - s^ROWS)^BANDS, so a pair at
-0.8 is missed with chance 1.3e-7 and a closer one more rarely.  A candidate is
-linked only if the similarity of its sets, counted exactly, reaches the threshold.
+"""Near copies: the SimHash index, then exact Jaccard similarity of word shingles.
+
+Candidates come from the Gray-order index of :mod:`simhash`, over the fingerprints of
+the sets of shingles.  Fingerprints of sets at the threshold differ in more bits than
+any index of 64 can search, so what is beyond its radius also meets in bands of
+minimum hashes: two sets of similarity s share one of ``BANDS`` bands of ``ROWS``
+minima with chance 1 - (1 - s^ROWS)^BANDS, so a pair at 0.8 is missed with chance
+1.3e-7 and a closer one more rarely.  A candidate of either kind is linked only if the
+similarity of its sets, counted exactly, reaches the threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, in_blocks, map_runs, stored
+from .simhash import folded, shingle_hashes
+from .simhash import links as index_links
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Bits in which fingerprints that the index joins differ at most.
+RADIUS = 4
 BANDS, ROWS = 40, 5
 #: Sets of one band in one block.
 BLOCK = 1000
@@ -27,20 +33,8 @@ _SLAB = 4096
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``shingle`` words.
-
-    Words are those of :func:`simhash.fingerprint`; a text of fewer words has itself
-    as its shingle, one of none has no shingle.
-    """
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
-    span = min(shingle, len(words))
-    return np.unique(np.array([xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, starts[span:], strict=False)], np.uint64))
+    """Sorted distinct hashes of the runs of ``shingle`` words, as :mod:`simhash` has them."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -69,7 +63,7 @@ def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id``, ``print`` (a hash of the text), ``code`` (a hash that names the set), ``n`` (its size) and ``bands``."""
+    """``doc_id``, ``print`` (a hash of the text), ``code`` (a hash that names the set), ``n`` (its size), ``fp`` (its fingerprint) and ``bands``."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,22 +73,35 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 batch.column(1),
                 pa.array([_signed(s.tobytes()) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(np.array([folded(s) for s in sets], np.uint64).view(np.int64)),
                 pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "code", "n", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "code", "n", "fp", "bands"])
 
-    return docs.mapInArrow(signed, "doc_id long, print long, code long, n long, bands array<long>")
+    return docs.mapInArrow(signed, "doc_id long, print long, code long, n long, fp long, bands array<long>")
+
+
+def indexed(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs of sets (``hub``, ``code``) that join all whose fingerprints the index finds within ``radius`` bits.
+
+    ``codes``: ``code`` and ``fp``.  Sets of one fingerprint are joined with the least of them.
+    """
+    least = stored(codes.groupBy("fp").agg(F.min("code").alias("rep")), "prints")
+    apart = index_links(least, radius).select(F.col("v").alias("hub"), F.col("u").alias("code"))
+    same = codes.join(least, "fp").where("code <> rep").select(F.col("rep").alias("hub"), "code")
+    return stored(apart.union(same).distinct(), "indexed")
 
 
-def _with_hubs(shared: DataFrame, hubs: DataFrame, texts: DataFrame, shingle: int, threshold: float, block: int) -> DataFrame:
-    """Links between sets and the hub of each of their bands, the set that most others meet.
+def _confirmed(shared: DataFrame, hubs: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, threshold: float, block: int) -> DataFrame:
+    """Links between the pairs ``found`` by the index, and between sets and the hub of each of their bands, the set that most others meet.
 
-    A hub with over ``block`` sets to compare is sent to several tasks.
+    Those of the index alone have a ``near`` of 0.  A hub with over ``block`` sets to
+    compare is sent to several tasks.
     """
     small, large = F.least("n", "hub.n"), F.greatest("n", "hub.n")
     met = shared.join(hubs, "band").where((F.col("code") != F.col("hub.code")) & (small >= threshold * large - 1e-9))
     named = met.select(F.col("hub.code").alias("hub"), "code", F.col("hub.rep").alias("u"), F.col("rep").alias("v"), F.col("hub.near").alias("near"))
-    pairs = stored(named.distinct(), "pairs")
+    pairs = stored(named.distinct().unionByName(found), "pairs")
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("parts"))
     dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts"))).drop("parts")
     heads = dealt.select("hub", "part").distinct().withColumn("code", F.col("hub")).withColumns({c: F.lit(0).cast("long") for c in ("u", "v", "near")})
@@ -119,7 +126,7 @@ def _apart(shared: DataFrame, hubs: DataFrame, links: DataFrame) -> DataFrame:
 
     The hub of a band was compared with all others there, so it is left out.
     """
-    label = links.groupBy("code").agg(F.max_by("hub", F.struct("near", "hub")).alias("label"))
+    label = links.where("near > 0").groupBy("code").agg(F.max_by("hub", F.struct("near", "hub")).alias("label"))
     label = stored(label, "labels")
     # a hub's own hub comes after it in the order, so this goes up
     for _ in range(2):
@@ -168,15 +175,16 @@ def _in_bands(rows: DataFrame, texts: DataFrame, shingle: int, threshold: float,
     return map_runs(dealt, ["band", "bi", "bj"], linked, "u long, v long", block)
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """``doc_id`` and ``component_id`` of every row.
 
     Documents are linked when the Jaccard similarity of their shingle sets is
     ``threshold`` or more; the component is the smallest id that links reach.  Texts
     without a word are copies of each other.  A null id takes part in no link and has
-    a null component.  Rows of one id are linked, whatever their texts.  Sets are
-    compared with the hub of each of their bands first; those of a band that this has
-    not joined are all compared with each other.
+    a null component.  Rows of one id are linked, whatever their texts.  Pairs of the
+    SimHash index within ``radius`` bits, and sets and the hub of each of their bands,
+    are compared first; those of a band that hubs have not joined are all compared with
+    each other.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = read.select("doc_id", F.xxhash64("text").alias("print"), "text")
@@ -184,19 +192,25 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SH
     named = signed.where("doc_id is not null")
     # equal sets are one: its bands and size are any row's
     first = F.min(F.struct("doc_id", "print")).alias("first")
-    codes = named.groupBy("code").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"))
-    codes = stored(codes.select("code", "n", "bands", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("print")), "sets")
+    codes = named.groupBy("code").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    codes = stored(codes.select("code", "n", "fp", "bands", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("print")), "sets")
     banded = codes.select(F.explode("bands").alias("band"), "code", "n", "rep")
     several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     near = F.sum("m").over(Window.partitionBy("code")).alias("near")
     shared = stored(banded.join(several, "band").select("band", "code", "n", "rep", near), "bands")
-    # both steps read these texts, so they are taken out of the others once
-    met = codes.join(shared.select("code").distinct(), "code", "left_semi").withColumnRenamed("rep", "doc_id")
+    pairs = indexed(codes.select("code", "fp"), radius)
+    for c, name in (("hub", "u"), ("code", "v")):
+        pairs = pairs.join(codes.select(F.col("code").alias(c), F.col("n").alias(f"n_{name}"), F.col("rep").alias(name)), c)
+    sized = F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v") - 1e-9
+    pairs = stored(pairs.where(sized).select("hub", "code", "u", "v", F.lit(0).cast("long").alias("near")), "candidates")
+    # all steps read these texts, so they are taken out of the others once
+    wanted = shared.select("code").union(pairs.select("code")).union(pairs.select("hub")).distinct()
+    met = codes.drop("fp").join(wanted, "code", "left_semi").withColumnRenamed("rep", "doc_id")
     texts = read.join(met, ["doc_id", "print"]).dropDuplicates(["doc_id", "print", "code"])
     texts = stored(texts.select("code", "text", "bands"), "texts")
     hub = F.max_by(F.struct("code", "n", "rep", "near"), F.struct("near", "code")).alias("hub")
     hubs = stored(shared.groupBy("band").agg(hub), "hubs")
-    links = _with_hubs(shared, hubs, texts, shingle, threshold, block)
+    links = _confirmed(shared, hubs, pairs, texts, shingle, threshold, block)
     rest = stored(_in_bands(_apart(shared, hubs, links), texts, shingle, threshold, block), "links")
     found = components(links.select("u", "v").union(rest))
     root = codes.select("code", "rep").join(found, F.col("rep") == F.col("node"), "left")

@@ -27,26 +27,35 @@ GROUP, SUPER, BLOCK = 16, 256, 20_000
 _FRONTIER = 2_000_000
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The 64-bit fingerprint of a text: bits set in over half its shingles' hashes.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words of a text, in order and with repeats.
 
     A-Z are lower-cased, words are runs of other than ASCII white space; a text of
-    fewer than ``shingle`` words has itself as its shingle, one of none is 0.
+    fewer than ``shingle`` words has itself as its shingle, one of none has none.
     """
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     span = min(shingle, len(words))
-    hashes = [xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, starts[span:], strict=False)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.array([xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, starts[span:], strict=False)], "<u8")
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of hashes: bits set in over half of them; of none 0."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = bits.sum(axis=0, dtype=np.uint32) * 2 > len(hashes)
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The fingerprint of a text, from all its :func:`shingle_hashes`."""
+    return folded(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``fp`` (the fingerprint as a signed long) of every row."""
 

@@ -57,3 +57,26 @@ def test_sets_that_differ_from_the_first_of_their_band_still_meet(spark):
     rows = [(k, " ".join(w[k : k + 40]), "en", "s", 1) for k in range(0, 20, 3)]
     got = {r["component_id"] for r in resemblance.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {0}
+
+
+def test_near_copies_come_through_the_simhash_index(spark):
+    rows = edited(20)
+    sets = {k: resemblance.shingles(r[1]) for k, r in enumerate(rows)}
+    prints = {k: resemblance.folded(s) for k, s in sets.items()}
+    signed = lambda fp: fp - (1 << 64) if fp >> 63 else fp
+    codes = spark.createDataFrame([(k, signed(fp)) for k, fp in prints.items()], "code long, fp long")
+    pairs = [(r["hub"], r["code"]) for r in resemblance.indexed(codes, 6).collect()]
+    within = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 6]
+    assert components(list(prints), pairs) == components(list(prints), within)
+    assert any(prints[a] != prints[b] for a, b in within)
+
+
+def test_what_the_index_finds_is_confirmed_and_linked_without_a_band(spark, monkeypatch):
+    near = [(1, " ".join(f"w{i}" for i in range(300)), "en", "s", 1), (2, " ".join(f"w{i}" for i in range(302)), "en", "s", 1)]
+    far = [(3, " ".join(f"v{i}" for i in range(300)), "en", "s", 1)]
+    whole = resemblance._signatures
+    # bands that no two sets share, and one fingerprint for all
+    none = lambda docs, shingle: whole(docs, shingle).selectExpr("doc_id", "print", "code", "n", "0L AS fp", f"transform(sequence(1, {resemblance.BANDS}), i -> xxhash64(code, i)) AS bands")
+    monkeypatch.setattr(resemblance, "_signatures", none)
+    got = {r["doc_id"]: r["component_id"] for r in resemblance.near_copies(spark.createDataFrame(near + far, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
