@@ -27,7 +27,8 @@ TRAIN_DOCS, ROUNDS, FIT_LETTERS = 400, 4, 64
 #: Probability of a character that no piece covers, weight of unseen pieces, and the
 #: words that a worker remembers.
 UNKNOWN, SMOOTH, MEMO_ENTRIES = 1e-8, 0.05, 250_000
-BATCH_CHARS = 1_000_000
+#: Characters of texts, and of padded words, that a worker scores at once.
+BATCH_CHARS, WORD_CHARS = 250_000, 80_000
 _BITS = 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: What a piece of a word can look like.
@@ -174,7 +175,7 @@ def _by_width(words: list[str]) -> Iterator[tuple[np.ndarray, int]]:
     order = np.argsort(size, kind="stable")
     at = 0
     while at < len(order):
-        room = max(1, 400_000 // int(size[order[at]] + 4))
+        room = max(1, WORD_CHARS // int(size[order[at]] + 4))
         to = min(at + room, int(np.searchsorted(size[order], size[order[at]] + 2, side="right")))
         some = order[at:to]
         yield some, int(size[some].max())
@@ -284,25 +285,21 @@ def identify(docs: DataFrame, model: Unigrams, text_col: str = "text") -> DataFr
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            labels, scores, held, chars = [], [], [], 0
-
-            def flush() -> None:
-                got, share = scorer.score(held)
-                labels.extend(got)
-                scores.append(share)
-                held.clear()
-
-            for t in batch.column(1):
+            texts = batch.column(0).field(at) if inside else batch.column(1)
+            lo, held, chars = 0, [], 0
+            for to, t in enumerate(texts, 1):
                 held.append(t.as_py())
                 chars += len(held[-1] or "")
-                if chars > BATCH_CHARS:
-                    flush()
-                    chars = 0
-            flush()
-            columns = [batch.column(0), pa.array(labels, pa.string()), pa.array(np.concatenate(scores), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
+                if chars > BATCH_CHARS or to == len(texts):
+                    labels, scores = scorer.score(held)
+                    columns = [batch.column(0).slice(lo, to - lo), pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
+                    lo, held, chars = to, [], 0
 
     row = F.struct(F.lit(0).alias(unlike(others)), *(F.col(f"`{c}`") for c in others))
-    read = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # a text that the row holds anyway is not sent twice
+    inside = text_col in others and docs.schema[text_col].dataType == T.StringType()
+    at = 1 + others.index(text_col) if inside else 0
+    read = docs.select(row.alias("row"), *([] if inside else [F.col(f"`{text_col}`").cast("string").alias("text")]))
     kinds = T.StructType([read.schema["row"]]).add("lang_pred", "string").add("score", "double")
     return read.mapInArrow(scored, kinds).select(*(F.col("row").getField(c).alias(c) for c in others), "lang_pred", "score")
