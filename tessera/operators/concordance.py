@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import cuts_upto
 from .stats import standard_normal_cdf
 
 _WIDE = "decimal(38,0)"
@@ -45,8 +46,9 @@ def _ranges(df: DataFrame, c: str, parts: int) -> Column:
     cuts = sorted(set(df.approxQuantile(c, shares, 0.5 / parts))) if shares else []
     if not cuts:
         return F.lit(0)
-    held = F.array(*map(F.lit, cuts))
-    return 2 * F.size(F.filter(held, lambda cut: cut < F.col(c))) + F.array_contains(held, F.col(c)).cast("int")
+    upto = cuts_upto(cuts, F.col(c))
+    met = F.coalesce(F.get(F.array(*map(F.lit, cuts)), upto - 1) == F.col(c), F.lit(False))
+    return 2 * upto - met.cast("int")
 
 
 def _total(amounts: Iterator[int]) -> pa.Table:

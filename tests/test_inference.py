@@ -220,3 +220,24 @@ def test_distances_from_distributions(spark):
     want = sum((o - x) ** 2 / x for o, x in cells)
     assert (fit["cells"], fit["df"]) == (len(cells), len(cells) - 2) and fit["statistic"] == pytest.approx(want) and fit["p"] == pytest.approx(special.chi2_upper(want, len(cells) - 2))
     assert special.chi2_upper(3.841458821, 1) == pytest.approx(0.05) and special.chi2_upper(30.0, 10) == pytest.approx(0.000856641, rel=1e-5)
+
+
+def test_cuts_are_found_by_halving(spark):
+    from tessera.operators import ordering
+
+    cuts = [float(x) for x in range(0, 26, 2)]
+    values = [None, -1.0, 0.0, 1.0, 13.0, 24.0, 99.0, float("nan"), float("inf")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(1)
+    got = rows.select("v", ordering.cuts_upto(cuts, F.col("v")).alias("n")).collect()
+    assert all(r["n"] == (0 if r["v"] is None else len(cuts) if r["v"] != r["v"] else sum(c <= r["v"] for c in cuts)) for r in got)
+
+
+def test_a_resample_has_few_ranges_and_takes_the_least_hashes(spark):
+    n = 40_000
+    df = spark.range(n).select("id", (F.col("id") % 1009).cast("double").alias("v"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    got = {r["resample"]: r["statistic"] for r in resampling.permuted(df, "v", "y", ["id"], 3).collect()}
+    for k in (1, 2, 3):
+        code = F.xxhash64(F.lit(1), F.lit(k), "id")
+        rows = df.select("v", F.shiftrightunsigned(code, 1).alias("u")).orderBy("u").limit(n // 5).agg(F.sum("v")).first()[0]
+        total = df.agg(F.sum("v")).first()[0]
+        assert abs(got[k] - (rows / (n // 5) - (total - rows) / (n - n // 5))) < 1e-9
