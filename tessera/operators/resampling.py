@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of hashes around the place where a resample is expected to end.
+RANGES = 64
+
+
 def _hash(key: list[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("resample"), *(F.col(f"_k{i}") for i in range(len(key))))
 
@@ -62,17 +66,23 @@ def permuted(df: DataFrame, value: str, label: str, key: list[str], resamples: i
 
     Each resample takes the rows with the least hashes, as many as label 1 has.  A sum
     for each (resample, range of hashes) tells the range in which they end; only rows
-    of that range are ranked, so no task sorts a whole resample.
+    of that range are ranked, so no task sorts a whole resample.  Hashes are spread evenly, so
+    they end within some deviations of a known place: ranges are narrow there, and what
+    lies below and above is one range each, whose number is the same for any table.
     """
     rows = _narrow(df, key, v=F.col(value).cast("double"), a=F.col(label).cast("int")).where("v IS NOT NULL AND a IN (0, 1)")
     n, n_1, total = rows.agg(F.count(F.lit(1)), F.sum("a"), F.sum("v")).first()
     if not n or not n_1 or n_1 == n:
         return df.sparkSession.createDataFrame([], "resample int, statistic double")
-    bits = max(0, min(16, math.ceil(math.log2(n / 5000)) if n > 5000 else 0))
+    share = n_1 / n
+    reach = 8 * math.sqrt(share * (1 - share) / n) + 2 / n
+    low, high = (int(min(1.0, max(0.0, share + side * reach)) * (1 << 62)) * 2 for side in (-1, 1))
+    step = max(1, (high - low) // RANGES)
     coded = _resampled(rows, resamples).select("resample", "v", _hash(key, seed).alias("code"), *(f"_k{i}" for i in range(len(key))))
-    coded = coded.withColumn("range", F.shiftrightunsigned(F.shiftrightunsigned("code", 1), 63 - bits) if bits else F.lit(0).cast("long"))
+    inside = F.floor((F.shiftrightunsigned("code", 1) - F.lit(low)) / F.lit(step))
+    coded = coded.withColumn("range", F.greatest(F.lit(-1).cast("long"), F.least(F.lit(RANGES).cast("long"), inside)))
     upto = Window.partitionBy("resample").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = coded.groupBy("resample", "range").agg(F.count(F.lit(1)).alias("m"), F.sum("v").alias("s"))  # 2^bits rows a resample
+    ranges = coded.groupBy("resample", "range").agg(F.count(F.lit(1)).alias("m"), F.sum("v").alias("s"))  # RANGES and a few rows a resample
     ranges = ranges.withColumns({"before": F.coalesce(F.sum("m").over(upto), F.lit(0)), "below": F.coalesce(F.sum("s").over(upto), F.lit(0.0))})
     last = ranges.where((F.col("before") < n_1) & (F.col("before") + F.col("m") >= n_1)).select("resample", "range", "before", "below")
     place = F.row_number().over(Window.partitionBy("resample").orderBy(F.shiftrightunsigned("code", 1), "code", *(f"_k{i}" for i in range(len(key)))))
