@@ -67,21 +67,40 @@ def same_name(a: Column, b: Column, least: int = 4) -> Column:
     return (a == b) | ((F.length(a) >= least) & (F.length(b) >= least) & (F.startswith(a, b) | F.startswith(b, a)))
 
 
+def agreeing(left: DataFrame, right: DataFrame, pair: tuple[str, str], name: str, least: int) -> DataFrame:
+    """A row for each two distinct names of ``left`` and ``right`` that agree by :func:`same_name`: ``pair[0]`` and ``name``, the right one.
+
+    Names meet by equi joins on themselves and their prefixes.
+    """
+    a, b = (df.select(F.col(c).alias("_n")).where("_n IS NOT NULL").distinct() for df, c in zip((left, right), pair, strict=True))
+
+    def begun(df: DataFrame) -> DataFrame:
+        lengths = F.sequence(F.lit(least), F.length("_n") - 1)
+        return df.where(F.length("_n") > least).select(F.col("_n").alias("_whole"), F.explode(F.transform(lengths, lambda n: F.substring(F.col("_n"), F.lit(1), n))).alias("_n"))
+
+    mine, theirs = F.col("_n").alias(pair[0]), F.col("_n").alias(name)
+    whole = F.col("_whole")
+    same = a.join(b, "_n").select(mine, theirs)
+    return same.union(begun(a).join(b, "_n").select(whole.alias(pair[0]), theirs)).union(a.join(begun(b), "_n").select(mine, whole.alias(name)))
+
+
 def near_in_time_and_name(left: DataFrame, right: DataFrame, at: tuple[str, str], names: list[tuple[str, str]], within: float, least: int = 4) -> DataFrame:
     """Pairs of rows less than ``within`` apart in time whose names agree by :func:`same_name`.
 
     ``at`` and ``names`` give (left, right) columns; the sides' columns are named apart.
-    Names that agree have their first ``least`` letters in common, and times within a
-    bucket of width ``within`` or the next one, so pairs meet by an equi join.
+    The names that agree are told from the distinct ones, and times are within a bucket of
+    width ``within`` or the next one, so pairs meet by an equi join on whole names and
+    time, however much names have in common.
     """
     mine, theirs = at
     keys = [f"_n{i}" for i in range(len(names))]
-    a = left.withColumns({"_b": F.floor(F.col(mine) / within), **{k: F.substring(F.col(x), 1, least) for k, (x, _) in zip(keys, names, strict=True)}})
-    b = right.withColumns({k: F.substring(F.col(y), 1, least) for k, (_, y) in zip(keys, names, strict=True)})
+    a = left.withColumn("_b", F.floor(F.col(mine) / within))
+    for k, pair in zip(keys, names, strict=True):
+        a = a.join(agreeing(left, right, pair, k, least), pair[0])
+    b = right.withColumns({k: F.col(y) for k, (_, y) in zip(keys, names, strict=True)})
     bucket = F.floor(F.col(theirs) / within)
     b = b.where(F.col(theirs).isNotNull()).withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    met = a.join(b, ["_b", *keys]).where(F.abs(F.col(mine) - F.col(theirs)) < within)
-    return reduce(lambda df, pair: df.where(same_name(F.col(pair[0]), F.col(pair[1]), least)), names, met).drop("_b", *keys)
+    return a.join(b, ["_b", *keys]).where(F.abs(F.col(mine) - F.col(theirs)) < within).drop("_b", *keys)
 
 
 def kernel_pairs(left: DataFrame, right: DataFrame, by: list[str], key: list[str], axes: list[tuple[str, str, str | float]], widest: list[float], least: float = 0.03) -> DataFrame:

@@ -106,3 +106,15 @@ def test_forecasts_of_expectations(spark):
         assert [r["home_win"], r["draw"], r["away_win"], r["over25"]] == pytest.approx(want, abs=1e-9)
         assert r["both_to_score"] == pytest.approx((1 - math.exp(-r["h"])) * (1 - math.exp(-r["a"]))) and len(r["scores"]) == 5
         assert [s["p"] for s in r["scores"]] == sorted((s["p"] for s in r["scores"]), reverse=True)
+
+
+def test_names_meet_by_whole_names_not_by_first_letters(spark):
+    names = ["nation1", "nation12", "nation123", "nation2", "nat", "nati", None, "other"]
+    left = spark.createDataFrame([(i, n, 0.0) for i, n in enumerate(names)], "i long, x string, s double")
+    right = spark.createDataFrame([(i, n, 1.0) for i, n in enumerate(names)], "j long, y string, t double")
+    pairs = linking.agreeing(left, right, ("x", "y"), "_to", 4)
+    agree = lambda a, b: a == b or min(len(a), len(b)) >= 4 and (a.startswith(b) or b.startswith(a))
+    want = sorted((a, b) for a in names for b in names if a and b and agree(a, b))
+    assert sorted((r["x"], r["_to"]) for r in pairs.collect()) == want
+    met = linking.near_in_time_and_name(left, right, ("s", "t"), [("x", "y")], 2.0)
+    assert sorted((r["x"], r["y"]) for r in met.collect()) == want
