@@ -23,9 +23,13 @@ def _hash(key: list[str], *also: Column) -> Column:
 
 
 def _at_hash_place(df: DataFrame, key: list[str], name: str, *also: Column) -> DataFrame:
-    """Add a row's place (from 0) in the order of a hash of its key, by sums over ranges of the hash."""
+    """Add a row's place (from 0) in the order of a hash of its key, by sums over ranges of the hash.
+
+    Hashes are spread evenly, so their first bits are the ranges and no pass looks for them.
+    """
     rows = df.withColumns({"_h": _hash(key, *also), "_one": F.lit(1)})
-    return running(rows, "_h", {name: "_one"}, tie=key).drop("_h", "_one")
+    bits = (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
+    return running(rows, "_h", {name: "_one"}, tie=key, part=F.shiftright("_h", 64 - bits)).drop("_h", "_one")
 
 
 def _sample(df: DataFrame, key: list[str], features: list[str], n: int | None, seed: int) -> DataFrame:
@@ -40,7 +44,7 @@ def permutation_importance(model: Model, df: DataFrame, features: list[str], tar
     A repeat gives every row the row that has its place in another order as a donor, so
     a shuffled column holds each value as often as before; all columns and repeats are scored in one pass.
     """
-    rows = df.where(F.col(target).isNotNull()).select(*key, *features, F.col(target).cast("double").alias("_target"))
+    rows = df.where(F.col(target).isNotNull()).select(*key, *features, F.col(target).cast("double").alias("_target")).persist()  # each order reads them
     placed = _at_hash_place(rows, key, "_at", F.lit(seed))
     donors = None
     for repeat in range(1, repeats + 1):
@@ -48,7 +52,7 @@ def permutation_importance(model: Model, df: DataFrame, features: list[str], tar
         donors = one if donors is None else donors.union(one)
     paired = placed.join(donors, "_at").withColumn("feature", F.explode(F.array(*map(F.lit, features))))
     shuffled = paired.withColumns({f: F.when(F.col("feature") == f, F.col(f"_donor.{f}")).otherwise(F.col(f)) for f in features})
-    whole = placed.withColumns({"repeat": F.lit(0), "feature": F.lit("")})
+    whole = rows.withColumns({"repeat": F.lit(0), "feature": F.lit("")})
     names = ["feature", "repeat", "_target", *features]
     error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("_target"), F.lit(2))))
     errors = model(shuffled.select(*names).union(whole.select(*names))).groupBy("feature", "repeat").agg(error.alias("rmse"))
