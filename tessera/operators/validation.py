@@ -94,13 +94,16 @@ def permutation_null(df: DataFrame, target: str, period: str, key: list[str], fo
         found = [f["r2"] for f in cross_validate(rows, target, period, folds, fit) if f["r2"] is not None]
         return sum(found) / len(found) if found else None
 
+    df = df.persist()  # each split and run reads it
     observed, draws = score(df), []
-    placed = _at_hash_place(df, key, "_at", F.lit(seed)).drop(target)
+    placed = _at_hash_place(df, key, "_at", F.lit(seed)).drop(target).persist()
     for run in range(1, runs + 1):
         other = _at_hash_place(df, key, "_at", F.lit(seed), F.lit(run)).select("_at", target)
         shuffled = placed.join(other, "_at").drop("_at").persist()
         draws.append(score(shuffled))
         shuffled.unpersist()
+    placed.unpersist()
+    df.unpersist()
     draws = [d for d in draws if d is not None]
     mean = sum(draws) / len(draws) if draws else None
     sd = (sum((d - mean) ** 2 for d in draws) / (len(draws) - 1)) ** 0.5 if len(draws) > 1 else None
