@@ -195,7 +195,7 @@ SELECT 'qty' AS feature, round(corr(q, t), 6) AS r, abs(corr(q, t)) >= 0.9 AS fl
 )
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features whose rank correlation with the target is suspiciously high."""
-    p, out = panel(spark, sf_dir), None
+    p, out = panel(spark, sf_dir).select("qty", "n", "revenue").persist(), None  # each rank reads it
     for c in ("qty", "n"):
         one = stats.spearman(p, c, "revenue").select(F.lit(c).alias("feature"), r("r").alias("r"), (F.abs("r") >= 0.9).alias("flagged"))
         out = one if out is None else out.union(one)
