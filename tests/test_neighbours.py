@@ -58,3 +58,19 @@ def test_no_rows(spark):
     empty = spark.createDataFrame([], "id long, a double")
     some = spark.createDataFrame([(1, 2.0)], "id long, a double")
     assert neighbours.neighbours(empty, some, "id", ["a"], 3).collect() == [] and neighbours.neighbours(some, some, "id", ["a"], 3).collect() == []
+
+
+def test_best_so_far_is_kept_by_distance_and_id():
+    import numpy as np
+
+    dice = np.random.default_rng(1)
+    best, found = np.full((5, 3), np.inf), np.full((5, 3), np.iinfo(np.int64).max)
+    seen = []
+    for block in range(4):
+        d = dice.integers(0, 4, (5, 40)).astype(float)
+        d[dice.random(d.shape) < 0.2] = np.nan
+        others = dice.permutation(40) + 100 * block
+        best, found = neighbours._nearest(best, found, d, others)
+        seen.append([[(x, i) for x, i in zip(row, others, strict=True) if x == x] for row in d])
+    for line in range(5):
+        assert list(zip(best[line], found[line], strict=True)) == sorted(sum((s[line] for s in seen), []))[:3]
