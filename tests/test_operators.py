@@ -251,6 +251,17 @@ def test_places_near_the_poles_and_the_date_line(spark):
     assert got == {(r["a"], r["b"]) for r in pairs.collect()} and (4, 5) in got and (0, 1) in got
 
 
+def test_places_of_one_partition_meet_in_several_tasks(spark):
+    dice = random.Random(9)
+    rows = spark.createDataFrame([(i, dice.uniform(45, 57), dice.uniform(-18, 18)) for i in range(300)], "a int, lat double, lon double").coalesce(1)
+    other = rows.withColumnRenamed("a", "b")
+    for metres in (20_000.0, 150_000.0, 7_000_000.0):
+        got = joins.near_places(rows, other, "lat", "lon", metres, D.distance_metres).select("a", "b", "metres", F.spark_partition_id().alias("task")).collect()
+        pairs = rows.crossJoin(other.withColumnsRenamed({"lat": "y", "lon": "x"})).withColumn("m", D.distance_metres(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")))
+        assert sorted((r["a"], r["b"], r["metres"]) for r in got) == sorted((r["a"], r["b"], r["m"]) for r in pairs.where(F.col("m") <= metres).select("a", "b", "m").collect())
+        assert metres > 1e6 or len({r["task"] for r in got}) > 4
+
+
 def test_change_points_against_all_cuts(spark):
     dice = random.Random(8)
     series = {k: [dice.gauss(m, 1) for m in (0, 6, 2) for _ in range(n)] for k, n in (("a", 12), ("b", 5), ("c", 2))}
