@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-from tessera.plans import ORACLE_SQL, QUERIES
+from tessera.plans import ORACLE_SQL, QUERIES, tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -46,3 +46,13 @@ def test_query(spark, duck, name):
     names = [d[0] for d in rel.description]
     want = sorted(tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in rel.fetchall())
     assert sorted(df.columns) == sorted(names) and got == want
+
+
+def test_orders_of_a_task_are_bounded(spark, monkeypatch):
+    few = QUERIES["A12_A13_form"](spark, SF).collect()
+    monkeypatch.setattr(tables, "ORDERS_A_TASK", 100)
+    parts = -(-tables.table(spark, SF, "orders").count() // 100)
+    dealt = tables.matches(spark, SF)
+    tasks = dealt.groupBy(tables.F.spark_partition_id()).count().collect()
+    assert parts > 4 and len(tasks) > parts / 2 and max(r["count"] for r in tasks) < 200
+    assert sorted(QUERIES["A12_A13_form"](spark, SF).collect()) == sorted(few)
