@@ -13,6 +13,25 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the word separators of every word-based operator.
 SPACE = " \t\n\x0b\x0c\r"
+#: What this Python worker keeps from one task to the next.
+_KEPT: dict[str, object] = {}
+
+
+def kept(use: str, make: Callable[[], object]) -> object:
+    """What ``make`` gave the first task of ``use`` in this Python worker.
+
+    A worker serves one stage after the other, so what another use keeps goes first.
+    """
+    if use not in _KEPT:
+        forget()
+        _KEPT[use] = make()
+    return _KEPT[use]
+
+
+def forget() -> None:
+    """Drop what earlier tasks keep in this Python worker, and give free memory back."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -142,6 +161,8 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray]
     width = len(keys)
 
     def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+
         def starts(table: pa.Table) -> np.ndarray:
             new = np.zeros(table.num_rows, bool)
             new[:1] = True

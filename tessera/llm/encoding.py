@@ -21,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: Chunks and pre-tokens that a worker remembers; it learns others again for each batch.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 250_000
 #: Bytes of text that are looked up together.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 #: Leads the first chunk of a text, which no white space opens.
 _FIRST = "\x00"
@@ -36,8 +38,6 @@ _ALPHABET = [c for c in map(chr, range(0x41, 0x530)) if c.isalpha()]
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    _made: dict[str, ChunkEncoder] = {}
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -57,10 +57,8 @@ class ChunkEncoder:
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
-        """The encoder of this Python worker."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        """The encoder of this Python worker, until the worker turns to something else."""
+        return kept(path, lambda: cls(path))
 
     def _parts(self, text: str) -> list[str]:
         """Pre-tokens by the library."""
@@ -139,3 +137,4 @@ class ChunkEncoder:
             to = max(at + 1, int(np.searchsorted(upto, before + BATCH_BYTES, side="right")))
             yield from self._batch(texts.slice(at, to - at))
             at = to
+        pa.default_memory_pool().release_unused()

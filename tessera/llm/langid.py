@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, partitions, stored, unlike
+from .common import discard, forget, partitions, stored, unlike
 
 #: Documents of each language (about) that are fitted, in so many rounds, and the letters
 #: beyond which a run of letters is fitted in parts.
@@ -236,6 +236,7 @@ def fit(rows: DataFrame, pieces: Iterable[str], train_docs: int = TRAIN_DOCS, ro
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = Counter((lang, part) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in split_words(t) for part in _parts(w))
             keys = list(found)
@@ -251,6 +252,7 @@ def fit(rows: DataFrame, pieces: Iterable[str], train_docs: int = TRAIN_DOCS, ro
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             now, sums = shared.value, {}
             for batch in batches:
                 counts: dict[str, dict[str, int]] = {}
@@ -283,6 +285,7 @@ def identify(docs: DataFrame, model: Unigrams, text_col: str = "text") -> DataFr
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = Scorer(shared.value)
         for batch in batches:
             texts = batch.column(0).field(at) if inside else batch.column(1)
@@ -295,6 +298,7 @@ def identify(docs: DataFrame, model: Unigrams, text_col: str = "text") -> DataFr
                     columns = [batch.column(0).slice(lo, to - lo), pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
                     yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
                     lo, held, chars = to, [], 0
+            pa.default_memory_pool().release_unused()
 
     row = F.struct(F.lit(0).alias(unlike(others)), *(F.col(f"`{c}`") for c in others))
     # a text that the row holds anyway is not sent twice

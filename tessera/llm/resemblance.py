@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, in_blocks, map_runs, stored
+from .common import components, forget, in_blocks, map_runs, stored
 from .simhash import folded, shingle_hashes
 from .simhash import links as index_links
 
@@ -66,6 +66,7 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """``doc_id``, ``print`` (a hash of the text), ``code`` (a hash that names the set), ``n`` (its size), ``fp`` (its fingerprint) and ``bands``."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sets = [shingles(t.as_py(), shingle) for t in batch.column(2)]
             columns = [
@@ -147,6 +148,7 @@ def _in_bands(rows: DataFrame, texts: DataFrame, shingle: int, threshold: float,
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             held = pa.array([shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), held, batch.column(2)], ["code", "held", "bands"])

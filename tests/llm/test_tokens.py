@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, token_store
+from tessera.llm import langid, packing, token_store
 from tessera.llm.common import new_path
 from tessera.llm.encoding import ChunkEncoder
 
@@ -162,3 +164,17 @@ def test_the_program_beats_best_fit_where_lengths_are_few(seed, most):
         counts[n] = k
     plain = sum(many for many, _ in packing.best_fit(counts, 1000))
     assert sum(many for many, _ in packing.solve(have, 1000)) <= most < plain
+
+
+def test_a_worker_drops_the_encoder_when_it_turns_to_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, None)], "doc_id long, text string")
+    path, calls, plain = public_tokenizers.path("word_bpe_49k.json"), [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda read, fn, kinds: calls.append((read, fn)) or plain(read, fn, kinds))
+    langid.identify(docs, langid.Unigrams(langid.Pieces(["▁the", "▁cat"]), ["en", "de"]))
+    ((read, fn),) = calls
+    encoder = weakref.ref(ChunkEncoder.of(path))
+    assert ChunkEncoder.of(path) is encoder()  # kept for the tasks of one use
+    rows = [r for b in fn(iter(read.toArrow().to_batches())) for r in b.to_pylist()]
+    gc.collect()
+    assert sorted(r["row"]["doc_id"] for r in rows) == [1, 2]
+    assert encoder() is None
