@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
+import subprocess
+import sys
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -232,6 +236,31 @@ def test_cuts_are_found_by_halving(spark):
     assert all(r["n"] == (0 if r["v"] is None else len(cuts) if r["v"] != r["v"] else sum(c <= r["v"] for c in cuts)) for r in got)
 
 
+NEW_SESSION = """
+import json
+from pyspark.sql import SparkSession
+from tessera.operators import stats
+
+conf = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+# p is column 5 of the session, as low as a lambda variable's id
+df = spark.range(60).selectExpr("id AS a", "id AS b", "id AS c", "id AS d", "(id * 7 % 15 + 1) / 256.0D AS p")
+print("rows " + json.dumps([list(r) for r in stats.false_discovery(df, "p").select("p", "q").collect()]))
+"""
+
+
+def test_false_discovery_of_ties_in_a_new_session():
+    run = subprocess.run([sys.executable, "-c", NEW_SESSION], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=300)
+    rows = [line for line in run.stdout.splitlines() if line.startswith("rows ")]
+    assert rows, run.stderr[-2000:]
+    got = json.loads(rows[0][5:])
+    p = sorted((i * 7 % 15 + 1) / 256 for i in range(60))
+    raw = [(v, v * 60 / (i + 1)) for i, v in enumerate(p)]
+    # equal p share the q of the last of them
+    want = {v: min([1.0, *(x for w, x in raw if w >= v)]) for v in p}
+    assert sorted(r[0] for r in got) == p and all(q == pytest.approx(want[v]) for v, q in got)
+
+
 def test_a_resample_has_few_ranges_and_takes_the_least_hashes(spark):
     n = 40_000
     df = spark.range(n).select("id", (F.col("id") % 1009).cast("double").alias("v"), (F.col("id") % 5 == 0).cast("int").alias("y"))
