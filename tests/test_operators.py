@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime
 
 import numpy as np
@@ -262,6 +263,17 @@ def test_places_of_one_partition_meet_in_several_tasks(spark):
         assert metres > 1e6 or len({r["task"] for r in got}) > 4
 
 
+def test_places_are_dealt_without_what_can_be_found_again(spark, capsys):
+    rows = spark.range(50).selectExpr("id AS a", "id / 10.0D AS lat", "id / 20.0D AS lon")
+    joins.near_places(rows, rows.withColumnRenamed("a", "b"), "lat", "lon", 150_000.0, D.distance_metres).explain("formatted")
+    steps = [step for step in capsys.readouterr().out.split("\n\n") if step.startswith("(")]
+    dealt = [re.findall(r"\w+(?=#)", step.split("\n")[1]) for step in steps if " Exchange\n" in step]
+    assert sorted(dealt) == [[key, "lat", "lon", "_xc", "_yc", "_zc"] for key in "ab"]
+    # a latitude's cosine is found once a row, not once a pair
+    pairs = [step for step in steps if "ASIN(" in step]
+    assert pairs and not any("COS(" in step for step in pairs)
+
+
 def test_change_points_against_all_cuts(spark):
     dice = random.Random(8)
     series = {k: [dice.gauss(m, 1) for m in (0, 6, 2) for _ in range(n)] for k, n in (("a", 12), ("b", 5), ("c", 2))}
